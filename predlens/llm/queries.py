@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, language_id, license_scan, line_dedup, media, mixing, token_counts, toxicity
+from . import bpe_codec, language_id, license_scan, line_dedup, media, mixing, near_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -39,11 +39,15 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"), width=2)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_language_id, op4_mixing, op5_toxicity, op6_token_counts, op7_bpe_codec, op8_license_scan, op10_media_columns)
+    f.__name__: f for f in (op1_line_dedup, op2_language_id, op4_mixing, op5_toxicity, op6_token_counts, op7_bpe_codec, op8_license_scan, op9_near_dedup, op10_media_columns)
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
