@@ -101,7 +101,7 @@ class Codec:
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, on request, ids and decoded text.
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, on request, ids.
 
     A null or empty text has no ids; equal rows give equal rows; a null id stays null; other columns are not read. Very
     long texts and pre-tokens are encoded whole. No rows give no rows.
@@ -110,7 +110,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_i
     tokens = read_ranks(path)
     sent = spark.sparkContext.broadcast((tokens, serialise(tokens)))  # fixed size: the vocabulary
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def make():
         codec = Codec(*sent.value, pattern)
@@ -120,7 +120,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_i
             out = [codec.row(t or "") for t in texts]
             columns = [ids, [n for n, _, _ in out], [sha(s.encode()) for _, s, _ in out], [sha(raw) for _, _, raw in out]]
             if keep_ids:
-                columns += [[[int(i) for i in s.split(",") if i] for _, s, _ in out], [raw.decode() for _, _, raw in out]]
+                columns.append([[*map(int, s.split(","))] if s else [] for _, s, _ in out])
             return columns
 
         return rows

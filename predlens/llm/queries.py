@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, license_scan, line_dedup, media, mixing, near_dedup, token_counts, toxicity
+from . import bpe_codec, language_id, license_scan, line_dedup, media, mixing, near_dedup, token_counts, topk, toxicity
 from .common import table
 
 
@@ -19,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_language_id, op4_mixing, op5_toxicity, op6_token_counts, op7_bpe_codec, op8_license_scan, op9_near_dedup, op10_media_columns)
+    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_topk_search, op4_mixing, op5_toxicity, op6_token_counts, op7_bpe_codec, op8_license_scan, op9_near_dedup, op10_media_columns)
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_topk_search": topk.ORACLE, "op4_mixing": mixing.ORACLE}
