@@ -587,9 +587,9 @@ def scan_search(spark, d):
     return out.select(F.substring("scan_id", 5, 20).cast("long").alias("scan_id"), "verdict")
 
 
-@query(scan_sql("SELECT CAST(\"timestamp\" AS DATE) AS day, count(*) AS total, count(*) FILTER (verdict = 'CANCER_FLAGGED') AS flagged, count(*) FILTER (verdict = 'REVIEW_REQUIRED') AS review, count(*) FILTER (verdict = 'NORMAL') AS normal FROM scans GROUP BY day"))
+@query(scan_sql("SELECT CAST(CAST(\"timestamp\" AS DATE) AS VARCHAR) AS day, count(*) AS total, count(*) FILTER (verdict = 'CANCER_FLAGGED') AS flagged, count(*) FILTER (verdict = 'REVIEW_REQUIRED') AS review, count(*) FILTER (verdict = 'NORMAL') AS normal FROM scans GROUP BY day"))
 def scan_stats(spark, d):
-    return questions.scan_stats(V.scans(spark, d).withColumn("day", F.to_date("timestamp")), ["day"])
+    return questions.scan_stats(V.scans(spark, d).withColumn("day", F.to_date("timestamp").cast("string")), ["day"])
 
 
 @query(scan_sql("SELECT scan_id, pred_class, confidence, \"timestamp\" FROM scans WHERE verdict = 'CANCER_FLAGGED' AND \"timestamp\" >= TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 7 DAY"))
@@ -737,9 +737,9 @@ def digest_row(spark, d):
 def class_auc_table(spark, d):
     rows = V.records(spark, d)
     pairs = F.explode(F.arrays_zip(C.strings(CLASSES).alias("c"), F.transform("probs", lambda p: F.round(p, 4)).alias("p")))
-    each = rows.select("human_label", pairs.alias("x")).select("human_label", "x.c", "x.p")
-    auc = stats.auc(each, ["c"], "p", F.col("human_label") == F.col("c"))
-    metrics = auc.groupBy().pivot("c", list(CLASSES)).agg(F.first("auc"))
+    each = rows.select("human_label", pairs.alias("x")).select("human_label", F.col("x.c").alias("of"), F.col("x.p").alias("score"))
+    auc = stats.auc(each, ["of"], "score", F.col("human_label") == F.col("of"))
+    metrics = auc.groupBy().pivot("of", list(CLASSES)).agg(F.first("auc"))
     return questions.class_auc_table(metrics.toDF(*(f"{c}_auc" for c in CLASSES)))
 
 
@@ -747,7 +747,7 @@ def class_auc_table(spark, d):
 
 
 def _stream(spark, d, name: str) -> DataFrame:
-    path = f"{d}/{name}.parquet"
+    path = f"{d}/{name}[.]parquet"  # a pattern, so that a single file will do as well as a folder
     return streams.drops(spark, path, V.table(spark, d, name).schema, "parquet")
 
 

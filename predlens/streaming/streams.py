@@ -35,7 +35,7 @@ def drift_after_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None],
 
 def daily_drift(stream: DataFrame, late: str = "2 days", every: str = "1 day", cfg: Config = DEFAULT) -> DataFrame:
     """Class shares of event-time windows; a window closes when the watermark has passed it."""
-    out = drift.class_shares(stream.withWatermark("ts", late).withColumn("window", F.window("ts", every)), ["window"], cfg)
+    out = drift.class_shares(stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("window", F.window("ts", every)), ["window"], cfg)
     return out.select(F.col("window.start").alias("window_start"), *(c for c in out.columns if c != "window"))
 
 
@@ -46,7 +46,7 @@ def first_of_content(stream: DataFrame, digest: str = "md5", time: str = "ts", w
 
 def rolling_flagged(scans: DataFrame, length: str = "7 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
     """Flagged scans in sliding windows."""
-    rows = scans.where(F.col("verdict") == "CANCER_FLAGGED").withWatermark("timestamp", late)
+    rows = scans.where(F.col("verdict") == "CANCER_FLAGGED").withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", late)
     out = rows.groupBy(F.window("timestamp", length, slide).alias("w")).agg(F.count(F.lit(1)).alias("flagged"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "flagged")
 
