@@ -782,7 +782,7 @@ def stream_qa_on_upload(spark, d):
     return _written(V.records(spark, d, lineitem=rows).select("image_id", "flag"))
 
 
-@query(rec("SELECT CAST(epoch(ts) // 2592000 * 30 AS BIGINT) AS window_day, count(*) AS n_images, " + ", ".join(f"round(count(*) FILTER (pred_class = '{c}') / CAST(count(*) AS DOUBLE), 6) AS {c}" for c in CLASSES) + " FROM records GROUP BY window_day"))
+@query(rec("SELECT CAST(floor(epoch(ts) / 2592000) * 30 AS BIGINT) AS window_day, count(*) AS n_images, " + ", ".join(f"round(count(*) FILTER (pred_class = '{c}') / CAST(count(*) AS DOUBLE), 6) AS {c}" for c in CLASSES) + " FROM records GROUP BY window_day"))
 def stream_daily_drift(spark, d):
     out = _counted(streams.daily_drift(V.records(spark, d, lineitem=_stream(spark, d, "lineitem")), every="30 days"))
     return out.select(F.unix_date(F.to_date("window_start")).cast("long").alias("window_day"), "n_images", *(F.round(c, 6).alias(c) for c in CLASSES))
@@ -803,7 +803,7 @@ def stream_dedupe(spark, d):
     return _written(streams.first_of_content(rows, within="3650 days").select("md5"))
 
 
-@query(scan_sql("SELECT CAST(epoch(\"timestamp\") // 86400 - i AS BIGINT) AS window_day, count(*) AS flagged FROM scans, (SELECT unnest(range(7)) AS i) WHERE verdict = 'CANCER_FLAGGED' GROUP BY window_day"))
+@query(scan_sql("SELECT CAST(floor(epoch(\"timestamp\") / 86400) - i AS BIGINT) AS window_day, count(*) AS flagged FROM scans, (SELECT unnest(range(7)) AS i) WHERE verdict = 'CANCER_FLAGGED' GROUP BY window_day"))
 def stream_rolling_flagged(spark, d):
     out = _counted(streams.rolling_flagged(V.scans(spark, d, _stream(spark, d, "events"))))
     return out.select(F.unix_date(F.to_date("window_start")).cast("long").alias("window_day"), "flagged")
