@@ -56,8 +56,10 @@ def image_files(spark: SparkSession, path: str, suffixes=IMAGE_SUFFIXES) -> Data
 
 def decoded_images(spark: SparkSession, path: str) -> DataFrame:
     """path, height, width, channels and pixel bytes (blue first); height -1 for a file that can't be decoded."""
+    # the origin is a URI, a listed path is not
+    origin = F.url_decode(F.replace(F.regexp_replace("image.origin", "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
     images = spark.read.format("image").option("recursiveFileLookup", True).load(path)
-    return images.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    return images.select(origin.alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
 def report_records(spark: SparkSession, path: str) -> DataFrame:
