@@ -35,7 +35,7 @@ def test_lattice_sums_all_segmentations():
 
 def test_language_id(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source", F.lit("own").alias("score"))
-    odd = spark.createDataFrame([(10**6, None, "en", None, None), (10**6 + 1, "", None, None, None), (10**6 + 2, "12 !", "en", None, None), (None, "the and", None, None, None), (10**6 + 3, "x" * 30000, None, None, None)], docs.schema)
+    odd = spark.createDataFrame([(10**6, None, "en", None, "o"), (10**6 + 1, "", None, None, "o"), (10**6 + 2, "12 !", "en", None, "o"), (None, "the and", None, None, "o"), (10**6 + 3, "x" * 30000, None, None, "o")], docs.schema)
     out = language_id.identify(docs.unionByName(odd), P.path("piece_bpe_32k.model"))
     got = {r.doc_id: r for r in out.collect()}
     assert len(got) == docs.count() + 5
