@@ -799,7 +799,7 @@ def stream_drift_after_batch(spark, d):
 
 @query("SELECT DISTINCT md5(text) AS md5 FROM documents")
 def stream_dedupe(spark, d):
-    rows = _stream(spark, d, "documents").select(F.md5("text").alias("md5"), F.timestamp_seconds("doc_id").alias("ts"))
+    rows = _stream(spark, d, "documents").select(F.md5("text").alias("md5"), F.timestamp_seconds(F.col("doc_id") + 1_000_000_000).alias("ts"))
     return _written(streams.first_of_content(rows, within="3650 days").select("md5"))
 
 
