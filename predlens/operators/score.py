@@ -76,12 +76,12 @@ def within_size(files: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, Dat
     return files.where(fits), files.where(~fits).withColumn("error", F.lit("file too large"))
 
 
-def score_batch(df: DataFrame, make_predict_fn, inputs: list[str], batch_size: int = 64, cfg: Config = DEFAULT) -> DataFrame:
-    """Logits by a model of the caller's, in Arrow batches; make_predict_fn loads it once in a worker.
+def score_batch(df: DataFrame, make_predict_fn, inputs: list[str], batch_size: int = 64, cfg: Config = DEFAULT, shapes: list[list[int] | None] | None = None) -> DataFrame:
+    """Logits by a model of the caller's, in Arrow batches; make_predict_fn loads it once in a worker, shapes are those of array inputs.
 
     A row with a null input, or whose logits are missing or not finite, becomes an error row and the batch goes on.
     """
-    run = predict_batch_udf(make_predict_fn, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=None)
+    run = predict_batch_udf(make_predict_fn, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=shapes)
     ready = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in inputs))
     missing = df.where(" OR ".join(f"`{c}` IS NULL" for c in inputs)).withColumn("logits", F.lit(None).cast("array<double>"))
     out = ready.withColumn("logits", run(*inputs)).unionByName(missing)

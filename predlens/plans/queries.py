@@ -157,11 +157,8 @@ def _double_first(*_: str):
 @query("SELECT vec_id, [round(CAST(x AS DOUBLE), 4) FOR x IN embedding[1:7]] AS logits FROM embeddings")
 def batch_scoring(spark, d):
     rows = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import ArrayType, DoubleType
-
-    run = predict_batch_udf(_double_first, return_type=ArrayType(DoubleType()), batch_size=256, input_tensor_shapes=[[64]])
-    return rows.select("vec_id", F.transform(run("x"), lambda p: F.round(p, 4)).alias("logits"))
+    scored = score.score_batch(rows, _double_first, ["x"], 256, shapes=[[64]])
+    return scored.select("vec_id", F.transform("logits", lambda p: F.round(p, 4)).alias("logits"))
 
 
 # active learning

@@ -197,3 +197,12 @@ def test_pipeline_logs_and_stops(spark, tmp_path):
     gone = df.select("path", F.lit("remove").alias("action"), F.array(F.lit("corrupt")).alias("issues"))
     assert list(pipeline.run(df, files=gone)) == ["ingest"]
     out["records"].unpersist()
+
+
+def test_batch_scoring_goes_on_after_a_bad_row(spark):
+    def make():
+        return lambda x: x * 2
+
+    df = spark.createDataFrame([(1, [1.0] * 7), (2, None), (3, [float("nan")] * 7)], "id int, x array<double>")
+    out = {r.id: (r.logits, r.error) for r in score.score_batch(df, make, ["x"], shapes=[[7]]).collect()}
+    assert out == {1: ([2.0] * 7, None), 2: (None, "no prediction"), 3: (None, "no prediction")}
