@@ -40,16 +40,28 @@ def rec(sql: str) -> str:
 # predictions and annotation QA
 
 
-@query(rec("SELECT image_id, pred_class, [round(p, 4) FOR p IN probs] AS probs FROM records"))
+def flat(array: str, names) -> list:
+    """Elements of an array as rounded columns."""
+    return [F.round(F.get(array, F.lit(i)), 4).alias(n) for i, n in enumerate(names)]
+
+
+def flat_sql(array: str, names) -> str:
+    return ", ".join(f"round({array}[{i}], 4) AS {n}" for i, n in enumerate(names, 1))
+
+
+SEVEN = [f"x{i}" for i in range(7)]
+
+
+@query(rec(f"SELECT image_id, pred_class, {flat_sql('probs', CLASSES)} FROM records"))
 def softmax_predict(spark, d):
-    return V.records(spark, d).select("image_id", "pred_class", F.transform("probs", lambda p: F.round(p, 4)).alias("probs"))
+    return V.records(spark, d).select("image_id", "pred_class", *flat("probs", CLASSES))
 
 
-@query("""WITH f AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:7]] AS l FROM embeddings), e AS (SELECT vec_id, [exp(x - list_max(l)) FOR x IN l] AS e FROM f)
-SELECT vec_id, [round(x / list_sum(e), 4) FOR x IN e] AS probs FROM e""")
+@query(f"""WITH f AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:7]] AS l FROM embeddings), e AS (SELECT vec_id, [exp(x - list_max(l)) FOR x IN l] AS e FROM f)
+SELECT vec_id, {flat_sql('[x / list_sum(e) FOR x IN e]', SEVEN)} FROM e""")
 def softmax_float32(spark, d):
     rows = V.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 7).alias("l"))
-    return rows.select("vec_id", F.transform(C.softmax("l"), lambda p: F.round(p, 4)).alias("probs"))
+    return rows.select("vec_id", C.softmax("l").alias("p")).select("vec_id", *flat("p", SEVEN))
 
 
 @query(rec("SELECT image_id, confidence_score, mel_prob FROM records"))
@@ -154,11 +166,11 @@ def _double_first(*_: str):
     return lambda x: x[:, :7].astype("float64")
 
 
-@query("SELECT vec_id, [round(CAST(x AS DOUBLE), 4) FOR x IN embedding[1:7]] AS logits FROM embeddings")
+@query(f"SELECT vec_id, {flat_sql('CAST(embedding AS DOUBLE[])', SEVEN)} FROM embeddings")
 def batch_scoring(spark, d):
     rows = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     scored = score.score_batch(rows, _double_first, ["x"], 256, shapes=[[64]])
-    return scored.select("vec_id", F.transform("logits", lambda p: F.round(p, 4)).alias("logits"))
+    return scored.select("vec_id", *flat("logits", SEVEN))
 
 
 # active learning
@@ -457,10 +469,10 @@ def dataset_summary(spark, d):
 # ingest checks
 
 
-@query("WITH m AS (SELECT doc_id, md5(text) AS md5 FROM documents), f AS (SELECT *, min(doc_id) OVER (PARTITION BY md5) AS first FROM m) SELECT doc_id, CASE WHEN md5 IS NOT NULL AND first <> doc_id THEN first END AS duplicate_of FROM f")
+@query("WITH m AS (SELECT doc_id, md5(text) AS md5 FROM documents), f AS (SELECT *, min(doc_id) OVER (PARTITION BY md5) AS first FROM m) SELECT doc_id, CASE WHEN md5 IS NOT NULL AND first <> doc_id THEN CAST(first AS VARCHAR) END AS duplicate_of FROM f")
 def content_duplicates(spark, d):
     rows = V.table(spark, d, "documents").select("doc_id", F.md5("text").alias("md5"))
-    return ingest_qc.duplicates(rows, path="doc_id").select("doc_id", "duplicate_of")
+    return ingest_qc.duplicates(rows, path="doc_id").select("doc_id", F.col("duplicate_of").cast("string").alias("duplicate_of"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars < 100 THEN 'too_small' WHEN n_chars > 8192 THEN 'too_large' END AS issue FROM documents WHERE n_chars < 100 OR n_chars > 8192")
