@@ -23,7 +23,7 @@ from .common import map_rows, save
 #: meet a block at once.
 SAMPLE, PIVOTS, LEAST_ROWS, MOST_ROWS, QUERIES = 2048, 256, 512, 8192, 4096
 #: Points of a leaf, most children of a node, and by how much a child's covering radius is smaller.
-LEAF, FANOUT, SHRINK = 48, 64, 1.4
+LEAF, FANOUT, SHRINK = 128, 8, 1.4
 
 
 def pack(vector: list | None, scale: float) -> bytes | None:
@@ -113,10 +113,10 @@ def search_block(queries: np.ndarray, query_ids: list[int], beat: np.ndarray, da
     worst = beat[q.order].astype(float)
     best: list[list[tuple[int, int]]] = [[] for _ in own]
 
-    def bounds(a: int, nodes: list[int]) -> np.ndarray:
-        """Of the products of query node a with data nodes, with room for rounding."""
-        r = d.radius[nodes]
-        top = d.centres[nodes] @ q.centres[a] + q.norms[a] * r + q.radius[a] * (d.norms[nodes] + r)
+    def bounds(a: list[int], b: list[int]) -> np.ndarray:
+        """Of the products of query nodes with data nodes, with room for rounding."""
+        r = d.radius[b]
+        top = q.centres[a] @ d.centres[b].T + q.norms[a, None] * r + q.radius[a, None] * (d.norms[b] + r)
         return top + 1e-9 * np.abs(top) + 1e-6
 
     waiting = [(0, 0, np.inf)] if own and len(points) else []
@@ -124,12 +124,13 @@ def search_block(queries: np.ndarray, query_ids: list[int], beat: np.ndarray, da
         a, b, top = waiting.pop()
         if top < worst[q.begin[a] : q.end[a]].min():
             continue
-        if q.children[a] and (not d.children[b] or q.radius[a] > d.radius[b]):
-            waiting += [(c, b, float(bounds(c, [b])[0])) for c in q.children[a]]
-            continue
-        if d.children[b]:
-            found = bounds(a, d.children[b])
-            waiting += sorted(((a, c, t) for c, t in zip(d.children[b], found.tolist(), strict=True)), key=lambda x: x[2])
+        if q.children[a] or d.children[b]:  # all pairs of children at once, the most promising ones last, so they are next
+            down, across = q.children[a] or [a], d.children[b] or [b]
+            found = bounds(down, across)
+            low = np.array([worst[q.begin[c] : q.end[c]].min() for c in down])
+            rows, columns = np.nonzero(found >= low[:, None])
+            tops = found[rows, columns]
+            waiting += [(down[rows[i]], across[columns[i]], float(tops[i])) for i in np.argsort(tops, kind="stable").tolist()]
             continue
         low, high = q.begin[a], d.begin[b]
         scores = products(q.points[low : q.end[a]], d.points[high : d.end[b]])
