@@ -1,6 +1,6 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-A document is the set of its word shingles. Documents with equal sets are one node. A signature holds 128 minima; each
+A document is the set of its word shingles. Documents with equal sets are one node. A signature holds 96 minima; each
 tree of the forest sorts all nodes by its own order of the minima, and a node's candidates are its next neighbours in that
 order, if they share a prefix that is long enough. In a dense region the neighbours share longer prefixes, so the depth
 adapts by itself. Candidates are confirmed on the full sets; confirmed links make the components. A candidate within a
@@ -10,19 +10,20 @@ with is compared too: in a crowd of variants of one text the neighbours may be v
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, map_rows, save
+from .common import discard, fresh, map_rows, save, scratch_dir
 from .components import components
 
 #: Minima of a signature; trees, the minima between the beginnings of two trees, and the minima that a tree sorts by; the
-#: shared prefix that makes a candidate, and how many following neighbours are looked at.
-HASHES, TREES, STEP, DEPTH, PREFIX, NEXT = 128, 32, 4, 10, 5, 3
+#: shared prefix that makes a candidate, and how many following neighbours are looked at (one, if it shares all of DEPTH).
+HASHES, TREES, STEP, DEPTH, PREFIX, NEXT = 96, 24, 4, 8, 5, 3
 #: Similarity of linked documents, in percent.
 SIMILAR = 80
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -119,10 +120,11 @@ def _neighbours(rows: DataFrame, edges: bool) -> DataFrame:
             if edges and first:
                 yield ends(slice(0, NEXT))
                 first = False
+            equal = (tree[:-1] == tree[1:]) & (key[:-1] == key[1:]).all(axis=1)
             for n in range(1, NEXT + 1):
                 begin = max(0, old - n)
-                left, right = slice(begin, len(ids) - n), slice(begin + n, None)
-                close = (tree[left] == tree[right]) & (key[left, :PREFIX] == key[right, :PREFIX]).all(axis=1) & (ids[left] != ids[right])
+                left, right = slice(begin, max(begin, len(ids) - n)), slice(begin + n, None)
+                close = (n == 1 or ~equal[left]) & (tree[left] == tree[right]) & (key[left, :PREFIX] == key[right, :PREFIX]).all(axis=1) & (ids[left] != ids[right])
                 if close.any():
                     a, b = ids[left][close], ids[right][close]
                     m = len(a)
@@ -147,6 +149,22 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, str]:
     return out, out_path
 
 
+def _bucketed(sets: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """sets (id, set) as a table in the shared folder, bucketed by id so that the joins of all turns don't shuffle it again; one
+    row an id. And what drops it."""
+    spark = sets.sparkSession
+    name = f"predlens_{uuid.uuid4().hex}"
+    path, n = f"{scratch_dir(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.repartition(n, "id").dropDuplicates(["id"]).sortWithinPartitions("id")
+    rows.write.bucketBy(n, "id").sortBy("id").option("path", path).saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE {name}")
+        discard(spark, path)
+
+    return spark.table(name), drop
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
 
@@ -188,8 +206,8 @@ def link(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: str =
         return lambda ids, texts: [ids, [shingles(t, width).tobytes() for t in texts]]
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi")
-    sets, sets_path = save(map_rows(texts, make, "id long, set binary").where(F.length("set") > 0).dropDuplicates(["id"]))
-    labels, labels_path, trash = None, None, [sets_path, left_path]
+    sets, drop_sets = _bucketed(map_rows(texts, make, "id long, set binary").where(F.length("set") > 0))
+    labels, labels_path, trash = None, None, [left_path]
     links = tried = None
 
     def settle(chosen: DataFrame) -> None:
@@ -220,7 +238,8 @@ def link(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: str =
     # each node's likeliest partner first, twice: what that links needs no more comparisons; then all that is left
     best = F.max(F.struct("hits", F.xxhash64("a", "b"), "a", "b")).alias("x")
     for _ in range(2):
-        settle(left.groupBy("a").agg(best).unionByName(left.groupBy("b").agg(best).withColumnRenamed("b", "a")).select("x.a", "x.b").distinct())
+        ends = left.select("*", F.explode(F.array("a", "b")).alias("node"))
+        settle(ends.groupBy("node").agg(best).select("x.a", "x.b").distinct())
         left, left_path = save(apart(left))
         trash.append(left_path)
     settle(left)
@@ -230,6 +249,7 @@ def link(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: str =
     linked = links.select(F.col("a").alias("y"), F.col("b").alias("z")).unionByName(links.select(F.col("b").alias("y"), F.col("a").alias("z")))
     more = failed.join(linked, "y").where("x <> z").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()
     settle(apart(more))
+    drop_sets()
     for path in trash:
         discard(spark, path)
     group = nodes.select("same", "id")
