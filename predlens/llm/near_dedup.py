@@ -205,7 +205,8 @@ def link(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: str =
     def make():
         return lambda ids, texts: [ids, [shingles(t, width).tobytes() for t in texts]]
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi")
+    # by hash at any size: a broadcast of the ids would only do while they are few
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(involved.hint("shuffle_hash"), "id", "left_semi")
     sets, drop_sets = _bucketed(map_rows(texts, make, "id long, set binary").where(F.length("set") > 0))
     labels, labels_path, trash = None, None, [left_path]
     links = tried = None
@@ -265,4 +266,4 @@ def keep_one(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: st
     """docs with one document of each component, the one of the smallest id; columns as they are."""
     key, = fresh(docs, "_gone")
     gone = link(docs, width, similar, doc_id, text).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, docs[doc_id] == gone[key], "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[doc_id] == gone[key], "left_anti")
