@@ -4,8 +4,11 @@ A document is the set of its word shingles. Documents with equal sets are one no
 tree of the forest sorts all nodes by its own order of the minima, and a node's candidates are its next neighbours in that
 order, if they share a prefix that is long enough. In a dense region the neighbours share longer prefixes, so the depth
 adapts by itself. Candidates are confirmed on the full sets; confirmed links make the components. A candidate within a
-component that is already linked decides nothing and is not compared. Where a candidate fails, what its partner is linked
-with is compared too: in a crowd of variants of one text the neighbours may be variants, and the text itself their partner.
+component that is already linked decides nothing and is not compared: each node's likeliest next neighbour comes first, and
+the forest is sorted again with the components that this makes, where neighbours are the next ones of other components.
+In a crowd of variants of one text the neighbours may be variants, and the text itself their partner. So a node is also
+compared with the hub of each candidate, the best linked one of those it is linked with, until that links nothing new; then
+with the candidates themselves, and with all that those are linked with; and so on until nothing new links.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from .common import discard, fresh, map_rows, save, scratch_dir
 from .components import components
 
 #: Minima of a signature; trees, the minima between the beginnings of two trees, and the minima that a tree sorts by; the
-#: shared prefix that makes a candidate, and how many following neighbours are looked at (one, if it shares all of DEPTH).
-HASHES, TREES, STEP, DEPTH, PREFIX, NEXT = 96, 24, 4, 8, 5, 3
+#: shared prefix that makes a candidate, and how many following neighbours are looked at.
+HASHES, TREES, STEP, DEPTH, PREFIX, NEXT = 96, 24, 4, 16, 5, 3
 #: Similarity of linked documents, in percent.
 SIMILAR = 80
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -79,36 +82,38 @@ def signatures(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame
 
 
 def _trees(nodes: DataFrame) -> DataFrame:
-    """tree, key (DEPTH minima in the tree's order), id: a row for each node and tree."""
+    """tree, key (DEPTH minima in the tree's order), id, and root if nodes have it: a row for each node and tree."""
     order = np.array([[(t * STEP + d) % HASHES for d in range(DEPTH)] for t in range(TREES)])
+    names = [c for c in ("id", "root") if c in nodes.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, HASHES)
+            sig = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).reshape(-1, HASHES)
             keys = np.ascontiguousarray(sig[:, order]).view(f"S{2 * DEPTH}")  # big-endian bytes stay as they are
             raw = keys.tobytes()
             n = batch.num_rows * TREES
             key = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (2 * DEPTH)), pa.py_buffer(raw)])
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)), key, pa.array(ids)], ["tree", "key", "id"])
+            own = [pa.array(np.repeat(c.to_numpy(zero_copy_only=False), TREES)) for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)), key, *own], ["tree", "key", *names])
 
-    return nodes.select("id", "sig").mapInArrow(run, "tree int, key binary, id long")
+    return nodes.select("sig", *names).mapInArrow(run, "tree int, key binary, " + ", ".join(f"{c} long" for c in names))
 
 
-def _neighbours(rows: DataFrame, edges: bool) -> DataFrame:
-    """Pairs of close neighbours in sorted partitions, as a < b; with edges, also the rows at both ends of the partition
-    (tree, key, id), whose other neighbours are in another one."""
+def _neighbours(rows: DataFrame, edges: bool, reach: int) -> DataFrame:
+    """Pairs of close neighbours of different roots in sorted partitions, as a < b; with edges, also the rows at both ends of
+    the partition (tree, key, id, root), whose other neighbours are in another one. Of successive rows of one root only the
+    first and the last count. A row without root is one of its own."""
+    none = ["a", "b", "tree", "key", "id", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, key, ids = np.empty(0, np.int32), np.empty((0, DEPTH), np.uint16), np.empty(0, np.int64)
+        tree, key, ids, roots = np.empty(0, np.int32), np.empty((0, DEPTH), np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
         first = True
 
         def ends(at: slice) -> pa.RecordBatch:
             k = [x.tobytes() for x in key[at]]
-            none = pa.nulls(len(k), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(tree[at]), pa.array(k, pa.binary()), pa.array(ids[at])], ["a", "b", "tree", "key", "id"])
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(k), pa.int64())] * 2, pa.array(tree[at]), pa.array(k, pa.binary()), pa.array(ids[at]), pa.array(roots[at])], none)
 
         for batch in batches:
             if not batch.num_rows:
@@ -117,33 +122,38 @@ def _neighbours(rows: DataFrame, edges: bool) -> DataFrame:
             tree = np.concatenate([tree, batch.column(0).to_numpy(zero_copy_only=False)])
             key = np.concatenate([key, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, DEPTH)])
             ids = np.concatenate([ids, batch.column(2).to_numpy(zero_copy_only=False)])
+            roots = np.concatenate([roots, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)])
+            same = (roots[:-1] == roots[1:]) & (tree[:-1] == tree[1:]) & (key[:-1, :PREFIX] == key[1:, :PREFIX]).all(axis=1)
+            stay = np.ones(len(ids), bool)
+            stay[1:-1] = ~(same[:-1] & same[1:])
+            stay[:old] = True
+            tree, key, ids, roots = tree[stay], key[stay], ids[stay], roots[stay]
             if edges and first:
                 yield ends(slice(0, NEXT))
                 first = False
-            equal = (tree[:-1] == tree[1:]) & (key[:-1] == key[1:]).all(axis=1)
-            for n in range(1, NEXT + 1):
+            for n in range(1, reach + 1):
                 begin = max(0, old - n)
                 left, right = slice(begin, max(begin, len(ids) - n)), slice(begin + n, None)
-                close = (n == 1 or ~equal[left]) & (tree[left] == tree[right]) & (key[left, :PREFIX] == key[right, :PREFIX]).all(axis=1) & (ids[left] != ids[right])
+                close = (tree[left] == tree[right]) & (key[left, :PREFIX] == key[right, :PREFIX]).all(axis=1) & (roots[left] != roots[right])
                 if close.any():
                     a, b = ids[left][close], ids[right][close]
                     m = len(a)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], ["a", "b", "tree", "key", "id"])
-            tree, key, ids = tree[-NEXT:], key[-NEXT:], ids[-NEXT:]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 2], none)
+            tree, key, ids, roots = tree[-NEXT:], key[-NEXT:], ids[-NEXT:], roots[-NEXT:]
         if edges and len(ids):
             yield ends(slice(0, None))
 
-    return rows.select("tree", "key", "id").mapInArrow(run, "a long, b long, tree int, key binary, id long")
+    return rows.mapInArrow(run, "a long, b long, tree int, key binary, id long, root long")
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, str]:
+def candidates(nodes: DataFrame, reach: int = NEXT) -> tuple[DataFrame, str]:
     """(a, b, hits) with a < b, and the path: pairs that are close neighbours in so many places of the forest."""
     order = ["tree", "key", "id"]
     ordered = _trees(nodes).repartitionByRange(*order).sortWithinPartitions(*order)
-    found, path = save(_neighbours(ordered, True))
+    found, path = save(_neighbours(ordered, True, reach))
     # the few rows at the ends of partitions, 2 * NEXT of each, meet their neighbours in one more sorted pass
-    borders = found.where("a IS NULL").select(*order).distinct().coalesce(1).sortWithinPartitions(*order)
-    pairs = found.where("a IS NOT NULL").select("a", "b").unionByName(_neighbours(borders, False).select("a", "b"))
+    borders = found.where("a IS NULL").select(*order, "root").distinct().coalesce(1).sortWithinPartitions(*order)
+    pairs = found.where("a IS NOT NULL").select("a", "b").unionByName(_neighbours(borders, False, reach).select("a", "b"))
     out, out_path = save(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")))
     discard(nodes.sparkSession, path)
     return out, out_path
@@ -199,7 +209,7 @@ def link(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: str =
     own, own_path = save(signatures(docs, width, doc_id, text))
     nodes = own.where("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
     nodes, _ = save(nodes.select("same", F.col("x.doc_id").cast("long").alias("id"), F.col("x.sig").alias("sig")))
-    left, left_path = candidates(nodes)
+    left, left_path = candidates(nodes, 1)
     involved = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
 
     def make():
@@ -211,17 +221,22 @@ def link(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: str =
     labels, labels_path, trash = None, None, [left_path]
     links = tried = None
 
-    def settle(chosen: DataFrame) -> None:
-        """Compares the chosen pairs and merges the components that the links among them join."""
+    def settle(chosen: DataFrame) -> bool:
+        """Compares the chosen pairs and merges the components that the links among them join; whether there are any."""
         nonlocal labels, labels_path, links, tried
         tested, path = save(chosen.select("a", "b"))
+        trash.append(path)
+        if labels is not None and tested.isEmpty():
+            return False
         new_links, links_path = save(confirmed(tested, sets, similar))
-        trash.extend([path, links_path])
+        trash.append(links_path)
         tried = tested if tried is None else tried.unionByName(tested)
         links = new_links if links is None else links.unionByName(new_links)
         if labels is None:
             labels, labels_path = components(new_links.toDF("u", "v"))
-            return
+            return True
+        if new_links.isEmpty():
+            return False
         root = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
         edges = new_links.join(labels.toDF("a", "a_root"), "a", "left").join(labels.toDF("b", "b_root"), "b", "left")
         new, new_path = components(edges.select(root("a").alias("u"), root("b").alias("v")))
@@ -230,26 +245,60 @@ def link(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: str =
         discard(spark, labels_path)
         discard(spark, new_path)
         labels, labels_path = merged, merged_path
+        return True
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        return pairs.join(tried, ["a", "b"], "left_anti")
 
     def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs that were not tried yet and whose nodes are in different components."""
-        pairs = pairs.join(tried, ["a", "b"], "left_anti").join(labels.toDF("a", "ra"), "a", "left").join(labels.toDF("b", "rb"), "b", "left")
+        """Pairs whose nodes are in different components."""
+        pairs = pairs.join(labels.toDF("a", "ra"), "a", "left").join(labels.toDF("b", "rb"), "b", "left")
         return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
-    # each node's likeliest partner first, twice: what that links needs no more comparisons; then all that is left
+    def both_ways(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        return pairs.select(F.col("a").alias(x), F.col("b").alias(y)).unionByName(pairs.select(F.col("b").alias(x), F.col("a").alias(y)))
+
+    def hubs() -> DataFrame:
+        """y, z: for each linked node the best linked one, of the smallest id, of itself and those it is linked with."""
+        linked = both_ways(links, "y", "z")
+        degree = linked.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+        known = linked.join(degree.toDF("z", "n"), "z").select("y", "z", "n").unionByName(degree.select("y", F.col("y").alias("z"), "n"))
+        return known.groupBy("y").agg(F.max(F.struct("n", (-F.col("z")).alias("z"))).alias("x")).select("y", (-F.col("x.z")).alias("z"))
+
+    def beyond(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """Untried pairs of a node with what its candidate leads to (y, z)."""
+        more = both_ways(pairs, "x", "y").join(of, "y").where("x <> z")
+        return untried(apart(more.select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()))
+
+    # each node's likeliest partner first, twice: what that links needs no more comparisons
     best = F.max(F.struct("hits", F.xxhash64("a", "b"), "a", "b")).alias("x")
     for _ in range(2):
         ends = left.select("*", F.explode(F.array("a", "b")).alias("node"))
         settle(ends.groupBy("node").agg(best).select("x.a", "x.b").distinct())
-        left, left_path = save(apart(left))
+        left, left_path = save(untried(apart(left)))
         trash.append(left_path)
-    settle(left)
-    # nodes that a failed partner is linked with
-    failed = tried.join(links, ["a", "b"], "left_anti")
-    failed = failed.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(failed.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    linked = links.select(F.col("a").alias("y"), F.col("b").alias("z")).unionByName(links.select(F.col("b").alias("y"), F.col("a").alias("z")))
-    more = failed.join(linked, "y").where("x <> z").select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()
-    settle(apart(more))
+    # the neighbours of other components, of the nodes that have any
+    still = nodes.select("id", "sig").join(involved.hint("shuffle_hash"), "id", "left_semi").join(labels.toDF("id", "root"), "id", "left")
+    left, left_path = candidates(still.select("id", "sig", F.coalesce("root", "id").alias("root")))
+    trash.append(left_path)
+
+    def shrink() -> None:
+        nonlocal left
+        left, path = save(apart(left.select("a", "b")))
+        trash.append(path)
+
+    def meet_hubs() -> None:
+        while settle(beyond(left, hubs())):
+            shrink()
+
+    meet_hubs()
+    if settle(untried(left)):
+        shrink()
+        meet_hubs()
+    # what the candidates are linked with, hub or not
+    while settle(beyond(left, both_ways(links, "y", "z"))):
+        shrink()
+        meet_hubs()
     drop_sets()
     for path in trash:
         discard(spark, path)

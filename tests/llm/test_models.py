@@ -152,3 +152,19 @@ def test_near_dedup_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.link(df).collect() == []
     assert [r.component_id for r in near_dedup.link(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()] == [1]
+
+
+def test_near_dedup_of_a_star(spark):
+    rng = np.random.default_rng(8)
+    n, size = 3000, 400
+    rows = [list(range(size))]
+    for k in range(n):
+        changed = rng.choice(size, 40, replace=False)
+        row = np.arange(size)
+        row[changed] = size + k * 40 + np.arange(40)
+        rows.append(row.tolist())
+    sets = [set(r) for r in rows]
+    assert max(len(a & b) / len(a | b) for a, b in itertools.combinations(sets[1:60], 2)) < 0.8
+    ids = rng.permutation(n + 1).tolist()
+    df = spark.createDataFrame([(i, " ".join(f"w{x}" for x in r)) for i, r in zip(ids, rows, strict=True)], "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.link(df, 1).collect()} == {0}
