@@ -1,6 +1,6 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-A document is the set of its word shingles. Documents with equal sets are one node. A signature holds 96 minima; each
+A document is the set of its word shingles. Documents with equal sets are one node. A signature holds 128 minima; each
 tree of the forest sorts all nodes by its own order of the minima, and a node's candidates are its next neighbours in that
 order, if they share a prefix that is long enough. In a dense region the neighbours share longer prefixes, so the depth
 adapts by itself. Candidates are confirmed on the full sets; confirmed links make the components. A candidate within a
@@ -26,7 +26,7 @@ from .components import components
 
 #: Minima of a signature; trees, the minima between the beginnings of two trees, and the minima that a tree sorts by; the
 #: shared prefix that makes a candidate, and how many following neighbours are looked at.
-HASHES, TREES, STEP, DEPTH, PREFIX, NEXT = 96, 24, 4, 16, 5, 3
+HASHES, TREES, STEP, DEPTH, PREFIX, NEXT = 128, 32, 4, 16, 5, 3
 #: Similarity of linked documents, in percent.
 SIMILAR = 80
 MIX = np.uint64(0x9E3779B97F4A7C15)
