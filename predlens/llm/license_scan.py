@@ -111,8 +111,9 @@ class Scanner:
             if is_base:
                 base.add(label)
                 places.append(end - n + 1)
-        if text and b"spdx" in words:
-            low = text.encode().lower().decode("utf-8")
+        raw = (text or "").encode().lower()
+        if TAG.encode() in raw:
+            low = raw.decode("utf-8")
             for end, _ in self.tags.iter(low):
                 stop = low.find("\n", end)
                 found = evaluate(low[end + 1 : stop if stop >= 0 else len(low)])

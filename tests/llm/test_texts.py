@@ -131,3 +131,9 @@ def test_images():
     assert media.decode(b"P4\n3 1\n\xa0").ravel().tolist() == [0, 255, 0]
     with pytest.raises(ValueError):
         media.decode(b"P3 1 1 1 1")
+
+
+@pytest.mark.parametrize("before", ["\ufeff", "\u00a0", "\u201c", "\u8bb8"])
+def test_tag_after_a_character_that_is_not_ascii(before):
+    labels = license_scan.Scanner().row(f"{before}SPDX-License-Identifier: MIT")[5]
+    assert labels == "permissive,spdx:mit"
