@@ -392,7 +392,7 @@ def link(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: str =
 
         own = kept(signatures(docs, width, doc_id, text))
         ids = own.where("same IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "same", "sig")
-        several = kept(ids.groupBy("id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high").select("id", "low"))
+        several = ids.groupBy("id").agg(F.min("same").alias("low"), F.max("same").alias("high")).where("low <> high").select("id", "low")
         torn = not several.isEmpty()
         if torn:
             own = own.join(several.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("same", F.when(F.col("same").isNotNull(), F.coalesce("low", "same")))
@@ -412,8 +412,8 @@ def link(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: str =
 
             return rows
 
-        # by hash at any size: a broadcast of the ids would only do while they are few
-        texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id", "left_semi")
+        # merged at any size: a broadcast of the ids would only do while they are few, and each bucket comes from one task
+        texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(involved.hint("merge"), "id", "left_semi")
         texts = texts if torn else texts.where("text IS NOT NULL").dropDuplicates(["id"])
         sets = map_rows(texts, make, "id long, same binary, set binary").where(F.length("set") > 0)
         if torn:
