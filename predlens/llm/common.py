@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Characters of text handed to one call of a map function; a longer text is a slice of its own.
-SLICE_CHARS = 4_000_000
+#: Bytes of text handed to one call of a map function; a longer text is a slice of its own.
+SLICE_BYTES = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -42,7 +42,7 @@ def discard(spark: SparkSession, path: str) -> None:
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., list[list]]], schema: str | StructType, text: str | None = "text") -> DataFrame:
     """Maps slices of rows in Arrow batches. make() runs once per task and returns f(*columns) -> list of result columns.
 
-    Slices hold about SLICE_CHARS characters of the column named by text, so a batch of very long texts is not
+    Slices hold about SLICE_BYTES bytes of the column named by text, so a batch of very long texts is not
     unpacked at once. Columns come as Python lists with None for null.
     """
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -55,7 +55,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list[list]]], schem
             n, begin = batch.num_rows, 0
             step = n
             if at is not None and n:
-                step = max(1, int(n * SLICE_CHARS / max(1, batch.column(at).nbytes)))
+                step = max(1, int(n * SLICE_BYTES / max(1, batch.column(at).nbytes)))
             while begin < n:
                 part = batch.slice(begin, step)
                 begin += step
@@ -65,6 +65,17 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list[list]]], schem
     return df.mapInArrow(run, kind)
 
 
+_MADE: dict = {}
+
+
+def per_worker(key: str, make: Callable):
+    """make() once for a key in each Python worker, whose tasks then share what it keeps; the last key's value only."""
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that df has no column of (case-insensitive): extra columns of the caller never clash."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -1,25 +1,33 @@
 """Token counts by deterministic transducers compiled from a byte-level BPE tokenizer file.
 
-Two machines run one after the other. The first splits text into pre-tokens: its input is a character's class together
-with a look at the next class, its transitions are annotated with the pre-tokens they begin. A batch of texts is cut into
-chunks; each chunk's map from any state to its end state is computed for all chunks at once, the maps are composed by a
-parallel prefix scan, and a second sweep from the then known states reads off the annotations. The second machine reads a
-pre-token's bytes. Its states are prefixes, each with the last token of its own encoding; a transition is annotated with
-the change in the number of tokens, so the sum along a pre-token is its count. Transitions are compiled when first met.
+Two machines run one after the other. The splitter reads characters: a character's class together with a look at the next
+class; its transitions are annotated with the pre-tokens they begin. A batch of texts is cut into chunks; each chunk's map from
+any state to its end state is computed for all chunks at once, the maps are composed by a parallel prefix scan, and a second
+sweep from the then known states reads off the annotations.
+
+The counter reads bytes. The encoding of a prefix ends with the one token that fits the encoding of what is before it, so its
+state is the bytes that can still be the beginning of a token, and for each border among them the last token before it and the
+number of tokens relative to now: a finite set, as tokens are. A transition is annotated with the change in the number of tokens.
+A new pre-token starts it anew, so the map of a chunk (to its end state and the sum of its annotations) is constant but for
+what stands before its first such place: the chunks' ends are swept at once, the heads when the state before them is known, and
+a prefix sum over the annotations gives the counts of texts. Transitions are compiled when first met.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, per_worker
 
-#: Characters of a chunk; transitions and counts that a task keeps; bytes of the longest pre-token whose states are kept.
-CHUNK, KEPT, KEPT_BYTES = 64, 500_000, 96
+#: Characters or bytes of a chunk; compiled transitions beyond which a worker starts anew.
+CHUNK, KEPT = 64, 700_000
+#: A transition is stored as next state * SHIFT + change of the count + HALF_SHIFT.
+SHIFT, HALF_SHIFT = 1024, 512
 
 # Input symbols. LETTER1 can end a contraction alone, PAIR is a letter that begins "re", "ve" or "ll"; the LAST kinds of
 # white space stand before a character that is none.
@@ -121,11 +129,16 @@ class Splitter:
             state = self.go[at]
         return np.flatnonzero(out.T.ravel()[:n])
 
+    def begins_of(self, texts: list[str]) -> tuple[str, np.ndarray]:
+        """The texts with a separator after each, and the characters that begin a pre-token or are a separator."""
+        text = "\n".join([*texts, ""])
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        return text, self.starts(self.symbols(text, ends))
+
     def split(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """All pre-tokens of the texts, one after the other, and the text number of each."""
-        text = "\n".join([*texts, ""])
+        text, at = self.begins_of(texts)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        at = self.starts(self.symbols(text, ends))
         to = np.append(at[1:], len(text))
         owner = np.searchsorted(ends, at)
         real = at != ends[owner]
@@ -133,21 +146,22 @@ class Splitter:
 
 
 class Counter:
-    """Byte-level transducer from pre-token to its number of tokens."""
+    """Byte-level transducer from a pre-token to its number of tokens."""
 
     def __init__(self, merges: dict[tuple[bytes, bytes], int], vocab: set[bytes]):
         self.merges, self.vocab = merges, vocab
-        self.lengths = sorted({len(t) for t in vocab}, reverse=True)
+        self.beginnings = {t[:n] for t in vocab for n in range(1, len(t))}
         self.made = {a + b: (a, b, rank) for (a, b), rank in merges.items()}
         self.spines: dict[tuple[bytes, int], list[tuple[bytes, float]]] = {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.counts: dict[str, int] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.states: dict[bytes, tuple[bytes, int]] = {b"": (b"", 0)}  # prefix: last token of its encoding, tokens so far
-        if len(self.counts) > KEPT:
-            self.counts.clear()
+        """State 0 is the start: nothing read. Of a state: its bytes, and the last token and relative count at each border."""
+        self.states: list[tuple[bytes, tuple[bytes, ...], tuple[int, ...]]] = [(b"", (b"",), (0,))]
+        self.number = {self.states[0]: 0}
+        self.keys, self.go, self.known = np.full(1 << 12, -1, np.int64), np.zeros(1 << 12, np.int32), 0
+        self.fits.clear()
 
     def spine(self, token: bytes, side: int) -> list[tuple[bytes, float]]:
         """What stands at one border of a token while it is built (side 1: its right border), and the rank that ends each."""
@@ -184,34 +198,130 @@ class Counter:
             self.fits[a, b] = found
         return found
 
-    def step(self, raw: bytes, end: int, state) -> tuple[bytes, int]:
-        """The state after raw[:end], by state(i), that after raw[:i] for i < end: the last token is the one that fits."""
-        for n in self.lengths[-end:] if end < len(self.lengths) else self.lengths:
-            if n <= end and (t := raw[end - n : end]) in self.vocab:
-                last, total = state(end - n)
-                if n == end or self.fit(last, t):
-                    return t, total + 1
-        raise ValueError("a byte is missing from the vocabulary")
-
-    def __call__(self, pre: str) -> int:
-        """Runs along the states that are known, compiles the transitions after them, and adds up what they emit."""
-        raw = pre.encode()
+    def compile(self, state: int, byte: int) -> int:
+        """The transition of a state by a byte: the last token is the longest one that fits the last token before it."""
+        text, last, count = self.states[state]
+        text += bytes([byte])
+        n = len(text)
+        for k in range(n, 0, -1):
+            token = text[n - k :]
+            if token in self.vocab and (len(last[n - k]) == 0 or self.fit(last[n - k], token)):
+                change = count[n - k] + 1
+                break
+        else:
+            raise ValueError("a byte is missing from the vocabulary")
+        keep = next((k for k in range(n, 0, -1) if text[n - k :] in self.beginnings), 0)
+        new = text[n - keep :], (*last, token)[n - keep :], (*(c - change for c in count), 0)[n - keep :]
+        to = self.number.get(new)
+        if to is None:
+            to = self.number[new] = len(self.states)
+            self.states.append(new)
+        if not -HALF_SHIFT <= change < HALF_SHIFT:
+            raise ValueError("a change of the count is too large")
+        return to * SHIFT + change + HALF_SHIFT
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key in the table of transitions, or the free one where it belongs; the next place is tried while it is taken."""
+        mask = len(self.keys) - 1
+        at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & mask
+        held = self.keys[at]
+        taken = np.flatnonzero((held != keys) & (held >= 0))
+        while len(taken):
+            at[taken] = (at[taken] + 1) & mask
+            held = self.keys[at[taken]]
+            taken = taken[(held != keys[taken]) & (held >= 0)]
+        return at
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds transitions; of several that want one free place, one after the other gets it."""
+        while len(keys):
+            at = self.slots(keys)
+            self.keys[at], self.go[at] = keys, values
+            lost = np.flatnonzero(self.keys[at] != keys)
+            won = np.setdiff1d(np.arange(len(keys)), lost)
+            self.go[at[won]] = values[won]
+            keys, values = keys[lost], values[lost]
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Transitions as they are stored; those that are met for the first time are compiled."""
+        keys = state.astype(np.int64) * 256 + byte
+        at = self.slots(keys)
+        new = np.flatnonzero(self.keys[at] < 0)
+        if len(new):
+            found = np.unique(keys[new])
+            values = np.array([self.compile(pair >> 8, pair & 255) for pair in found.tolist()], np.int32)
+            self.known += len(found)
+            if 2 * self.known > len(self.keys):
+                old, went = self.keys[self.keys >= 0], self.go[self.keys >= 0]
+                self.keys = np.full(1 << int(4 * self.known).bit_length(), -1, np.int64)
+                self.go = np.zeros(len(self.keys), np.int32)
+                self.add(old, went)
+            self.add(found, values)
+            at = self.slots(keys)
+        return self.go[at]
+
+    def changes(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Change of the count at each byte; starts: the bytes that begin a pre-token, the first one among them."""
         n = len(raw)
-        if n > KEPT_BYTES:
-            chain = [(b"", 0)]
-            for end in range(1, n + 1):
-                chain.append(self.step(raw, end, chain.__getitem__))
-            return chain[n][1]
-        if len(self.states) > KEPT:
-            self.fits.clear()
-            self.forget()
-        states, end = self.states, n
-        while raw[:end] not in states:
-            end -= 1
-        for at in range(end + 1, n + 1):
-            states[raw[:at]] = self.step(raw, at, lambda i: states[raw[:i]])
-        total = self.counts[pre] = states[raw][1]
-        return total
+        rows = -(-n // CHUNK)
+        grid, begins = np.zeros(rows * CHUNK, np.uint8), np.zeros(rows * CHUNK, bool)
+        grid[:n], begins[starts] = raw, True
+        begins[n:] = True  # what fills the last chunk up
+        first = np.where(begins.reshape(rows, CHUNK).any(axis=1), begins.reshape(rows, CHUNK).argmax(axis=1), CHUNK)
+        grid, begins = np.ascontiguousarray(grid.reshape(rows, CHUNK).T), np.ascontiguousarray(begins.reshape(rows, CHUNK).T)
+        out = np.zeros((CHUNK, rows), np.int16)
+        end = np.zeros(rows, np.int32)
+        known = np.flatnonzero(first < CHUNK)
+        # from the first start of each chunk on: the constant part of its map
+        order = known[np.argsort(first[known], kind="stable")]
+        until = np.searchsorted(first[order], np.arange(CHUNK), "right")
+        for j in range(CHUNK):
+            at = order[: until[j]]
+            found = self.step(np.where(begins[j, at], 0, end[at]), grid[j, at])
+            end[at] = found // SHIFT
+            out[j, at] = found % SHIFT - HALF_SHIFT
+        # the heads, from the end state of the chunk before; chunks without a start one after the other
+        wait = np.flatnonzero(first > 0)
+        depth = np.zeros(rows, np.int32)
+        whole = first == CHUNK
+        for r in np.flatnonzero(whole).tolist():
+            depth[r] = depth[r - 1] + 1 if r and whole[r - 1] else 0
+        # a head follows what is before it: first those after a known end, then each after its predecessor
+        level = np.where(whole, depth, np.where(np.append(False, whole[:-1]), np.append(0, depth[:-1]) + 1, 0))
+        wait = wait[np.argsort(level[wait], kind="stable")]
+        for group in np.split(wait, np.flatnonzero(np.diff(level[wait])) + 1):
+            if not len(group):
+                continue
+            state = end[group - 1]
+            group, state = group[np.argsort(-first[group], kind="stable")], state[np.argsort(-first[group], kind="stable")]
+            until = np.searchsorted(-first[group], -np.arange(first[group[0]]), "left")
+            for j, m in enumerate(until.tolist()):
+                found = self.step(state[:m], grid[j, group[:m]])
+                state[:m] = found // SHIFT
+                out[j, group[:m]] = found % SHIFT - HALF_SHIFT
+            done = first[group] == CHUNK
+            end[group[done]] = state[done]
+        return out.T.ravel()[:n]
+
+
+class Machine:
+    """Both transducers: number of tokens of each of a list of texts."""
+
+    def __init__(self, merges: dict[tuple[bytes, bytes], int], vocab: set[bytes], table: np.ndarray):
+        self.splitter, self.counter = Splitter(table), Counter(merges, vocab)
+        self.separator = int(self.counter.changes(np.array([10], np.uint8), np.array([0]))[0])
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0, np.int64)
+        if self.counter.known > KEPT:
+            self.counter.forget()
+        text, at = self.splitter.begins_of(texts)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        byte_of = np.flatnonzero((raw & 0xC0) != 0x80) if len(raw) != len(text) else None  # of each character
+        total = np.append(0, np.cumsum(self.counter.changes(raw, at if byte_of is None else byte_of[at]), dtype=np.int64))
+        ends = np.cumsum([len(t.encode()) + 1 for t in texts])
+        return np.diff(total[np.append(0, ends)]) - self.separator
 
 
 def read_tokenizer(path: str) -> tuple[dict[tuple[bytes, bytes], int], set[bytes], list[str]]:
@@ -245,23 +355,22 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "d
     table = classes(Tokenizer.from_file(path).pre_tokenizer)
     sent = docs.sparkSession.sparkContext.broadcast((merges, vocab, special, table))  # fixed size: vocabulary, code points
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
+    own = uuid.uuid4().hex
 
     def make():
         import re
 
         merges, vocab, special, table = sent.value
-        split, count = Splitter(table).split, Counter(merges, vocab)
+        count = per_worker(own, lambda: Machine(merges, vocab, table)).count
         cut = re.compile("|".join(map(re.escape, special))).split if special else lambda t: [t]
 
         def rows(ids, texts):
             texts = [t or "" for t in texts]
             parts = [cut(t) for t in texts]
+            each = count([s for p in parts for s in p])
             owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-            pre, at = split([s for p in parts for s in p])
-            get = count.counts.get
-            each = [get(p) or count(p) for p in pre]
-            n = np.bincount(owner[at], np.array(each, np.float64), len(texts)).astype(np.int64) if pre else np.zeros(len(texts), np.int64)
-            n = (n + [len(p) - 1 for p in parts]).tolist()
+            n = np.bincount(owner, each, len(texts)).astype(np.int64) if texts else each
+            n = (n + [len(p) - 1 for p in parts]).tolist() if texts else []
             return [ids, [len(t.encode()) for t in texts], n, [x > limit for x in n]]
 
         return rows
