@@ -11,13 +11,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, per_worker
 
-#: Pre-tokens that a task keeps encoded; the store is emptied beyond it. Longer pre-tokens are not kept.
+#: Pre-tokens that a worker keeps encoded; the store is emptied beyond it. Longer pre-tokens are not kept.
 KEPT, KEPT_CHARS = 200_000, 128
 BYTE_CHARS = {b: 0x100 + b for b in range(256)}
 
@@ -112,8 +113,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_i
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
+    own = uuid.uuid4().hex
+
     def make():
-        codec = Codec(*sent.value, pattern)
+        codec = per_worker(own, lambda: Codec(*sent.value, pattern))
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
 
         def rows(ids, texts):

@@ -8,22 +8,34 @@ by expectation-maximisation on the words of labelled documents, again over all s
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, held_out, map_rows, save
+from .common import discard, held_out, map_rows, per_worker, save
 
-#: Labelled documents of each language that are learned from, about; rounds of learning.
-FIT_ROWS, ROUNDS = 800, 2
-#: Longest piece and, while learning, longest word, in characters; words that a task keeps scored.
-PIECE, FIT_WORD, KEPT = 16, 32, 500_000
+#: Labelled documents of each language that are learned from, about; most languages, the most frequent ones; rounds of learning.
+FIT_ROWS, LANGS, ROUNDS = 800, 128, 2
+#: Longest piece in characters; words that a worker keeps scored.
+PIECE, KEPT = 16, 500_000
 #: Probability of a character that is no piece; what is added to a piece's count.
 UNKNOWN, PRIOR = 1e-7, 0.05
 MARK = "▁"
-letters = re.compile(r"[^\W\d_]+").findall
+runs = re.compile(r"[^\W\d_]+").findall
+#: A text of at least so many letters is in no known language if its mean log probability a letter is below that of letters drawn
+#: evenly from an alphabet of this size.
+LETTERS, ALPHABET = 20, 60
+
+
+def letters(text: str) -> list[str]:
+    """Words of a text: runs of letters in the sense of str.isalpha. The pattern's runs may hold other numeric characters, as ½."""
+    found = runs(text)
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
 
 
 def pieces(path: str) -> list[str]:
@@ -80,36 +92,44 @@ class Lattice:
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in words with counts, in the one language of prob; words up to FIT_WORD."""
+        """Expected number of each piece in words with counts, in the one language of prob.
+
+        Sums are held as logarithms, so long words don't underflow. Backwards each place's count is shared among the pieces that
+        end there, by their part of its sum.
+        """
         out = np.zeros(len(self.prob))
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
-        p = self.prob[:, 0]
+        with np.errstate(divide="ignore"):
+            log_p = np.log(self.prob[:, 0])
         for length, at in by_length.items():
-            own, n_w = [MARK + words[i] for i in at], counts[at]
-            arcs = [self.arcs(own, end) for end in range(1, length + 2)]
-            before = [np.ones(len(at))]
-            for end, found in enumerate(arcs, 1):
-                before.append(sum(before[end - n] * p[ids] for n, ids in found))
-            after = [np.zeros(len(at)) for _ in range(length + 1)] + [n_w / before[-1]]
+            own = [MARK + words[i] for i in at]
+            arcs, logs = [], [np.zeros(len(at))]
+            for end in range(1, length + 2):
+                arcs.append(self.arcs(own, end))
+                terms = np.array([logs[end - n] + log_p[ids] for n, ids in arcs[-1]])
+                top = terms.max(axis=0)
+                logs.append(top + np.log(np.exp(terms - top).sum(axis=0)))
+            mass = [np.zeros(len(at)) for _ in range(length + 1)] + [counts[at].astype(float)]
             for end in range(length + 1, 0, -1):
                 for n, ids in arcs[end - 1]:
-                    flow = after[end] * p[ids]
-                    out += np.bincount(ids, flow * before[end - n], len(out))
-                    after[end - n] += flow
+                    flow = mass[end] * np.exp(logs[end - n] + log_p[ids] - logs[end])
+                    out += np.bincount(ids, flow, len(out))
+                    mass[end - n] += flow
         return out[: len(self.index)]
 
 
 def fit(docs: DataFrame, vocabulary: list[str], rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities, learned from about `rows` documents of each language, chosen by a hash of the id.
 
-    Documents that are held out, or lack text or language, are left out. The driver gets a row for each language, then the
-    counts of pieces by language: their size is set by vocabulary and languages, not by the documents.
+    Documents that are held out, or lack text or language, are left out, as are languages beyond the LANGS most frequent ones. The
+    driver gets a row for each language, then the counts of pieces by language: their size is set by vocabulary and languages, not
+    by the documents.
     """
     spark = docs.sparkSession
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGS).collect()}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((len(vocabulary), 0))
@@ -121,7 +141,7 @@ def fit(docs: DataFrame, vocabulary: list[str], rows: int = FIT_ROWS, doc_id: st
         def count(langs, texts):
             found: dict[str, Counter] = {}
             for g, t in zip(langs, texts, strict=True):
-                found.setdefault(g, Counter()).update(w for w in letters(t.lower()) if len(w) < FIT_WORD)
+                found.setdefault(g, Counter()).update(w for w in letters(t.lower()))
             rows = [(g, w, n) for g, c in found.items() for w, n in c.items()]
             return list(zip(*rows, strict=True)) or [[], [], []]
 
@@ -175,16 +195,18 @@ class Scorer:
         self.logs[begin : begin + len(words)] = self.lattice.forward(words)
         self.rows.update(zip(words, range(begin, begin + len(words)), strict=True))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Languages, scores, and whether the letters are likely in the language at all."""
         bags = [Counter(letters(t.lower())) if t else Counter() for t in texts]
         seen = set().union(*bags)
         if new := [w for w in seen if w not in self.rows]:
             self.learn(new if len(self.rows) + len(new) <= KEPT else list(seen))
-        names, scores = [], []
+        names, scores, likely = [], [], []
         for bag in bags:
             if not bag or not self.langs:
                 names.append("und")
                 scores.append(0.0)
+                likely.append(False)
                 continue
             rows = self.rows
             total = np.fromiter(bag.values(), float, len(bag)) @ self.logs[[rows[w] for w in bag]]
@@ -192,7 +214,9 @@ class Scorer:
             best = int(odds.argmax())
             names.append(self.langs[best])
             scores.append(float(odds[best] / odds.sum()))
-        return names, scores
+            size = sum(len(w) * n for w, n in bag.items())
+            likely.append(bool(size < LETTERS or total[best] >= -np.log(ALPHABET) * (size + bag.total())))
+        return names, scores, likely
 
 
 def identify(docs: DataFrame, vocabulary: str, rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -207,26 +231,31 @@ def identify(docs: DataFrame, vocabulary: str, rows: int = FIT_ROWS, doc_id: str
     sent = docs.sparkSession.sparkContext.broadcast((known, langs, prob))
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
 
+    own = uuid.uuid4().hex
+
     def make():
-        predict = Scorer(*sent.value).predict
-        return lambda ids, held, texts: [ids, held, *predict(texts)]
+        predict = per_worker(own, lambda: Scorer(*sent.value)).predict
+        return lambda ids, held, texts: [ids, held, *predict(texts)[:2]]
 
     return map_rows(docs.select(doc_id, held_out(doc_id).alias("held_out"), text), make, f"doc_id {kind}, held_out boolean, lang_pred string, score double", text)
 
 
 def keep_identified(docs: DataFrame, vocabulary: str, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without the rows whose text has no letter or no language with at least the given score; columns as they are."""
+    """docs without the rows whose text has no letter, no language with at least the given score, or letters that are likely in none
+    (see LETTERS); columns as they are. If no language could be learned, only rows without letters go."""
     known = pieces(vocabulary)
     langs, prob = fit(docs, known, doc_id=doc_id, text=text, lang=lang)
     sent = docs.sparkSession.sparkContext.broadcast((known, langs, prob))
-    at = docs.columns.index(text)
+    at, own = docs.columns.index(text), uuid.uuid4().hex
 
     def make():
-        predict = Scorer(*sent.value).predict
+        predict = per_worker(own, lambda: Scorer(*sent.value)).predict
 
         def rows(*columns):
-            names, scores = predict(columns[at])
-            keep = [i for i, (g, s) in enumerate(zip(names, scores, strict=True)) if g != "und" and s >= least]
+            if langs:
+                keep = [i for i, (g, s, good) in enumerate(zip(*predict(columns[at]), strict=True)) if g != "und" and s >= least and good]
+            else:
+                keep = [i for i, t in enumerate(columns[at]) if t and letters(t)]
             return [[c[i] for i in keep] for c in columns]
 
         return rows
