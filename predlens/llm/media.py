@@ -20,6 +20,8 @@ from .common import map_rows
 
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
+#: Rows of an image that are resized at once.
+BAND = 4096
 
 
 def pack(raw: bytes) -> bytes:
@@ -87,22 +89,25 @@ def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of the grey values over each cell of a height x width grid, by differences of an integral image.
 
     Cell borders may cut pixels: the integral image is read between its points by linear interpolation, which is the exact
-    area integral of a pixel grid.
+    area integral of a pixel grid. It is built BAND rows at a time and only its values at the cells' columns and rows are held.
     """
-    grey = pixels.astype(np.float64).mean(axis=2)
-    h, w = grey.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(grey, axis=0), axis=1, out=total[1:, 1:])
-
-    def at(edges: np.ndarray, table: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(int), len(table) - 2)
-        part = (edges - low)[:, None]
-        return table[low] * (1 - part) + table[low + 1] * part
-
+    h, w, c = pixels.shape
     ys, xs = np.arange(height + 1) * h / height, np.arange(width + 1) * w / width
-    cells = at(xs, at(ys, total).T).T
+    left, top = np.minimum(xs.astype(int), w - 1), np.minimum(ys.astype(int), h - 1)
+    above, cells = np.zeros(width + 1), np.zeros((height + 1, width + 1))
+    for low in range(0, h, BAND):
+        grey = pixels[low : low + BAND].sum(axis=2, dtype=np.int64)
+        total = np.zeros((len(grey), w + 1))
+        np.cumsum(grey, axis=1, out=total[:, 1:])
+        part = xs - left
+        total = np.cumsum(total[:, left] * (1 - part) + total[:, left + 1] * part, axis=0)
+        total = np.vstack([above, above + total])
+        here = np.flatnonzero((top >= low) & (top < low + BAND))
+        part = (ys[here] - top[here])[:, None]
+        cells[here] = total[top[here] - low] * (1 - part) + total[top[here] - low + 1] * part
+        above = total[-1]
     sums = cells[1:, 1:] - cells[:-1, 1:] - cells[1:, :-1] + cells[:-1, :-1]
-    return sums / ((h / height) * (w / width))
+    return sums / (c * (h / height) * (w / width))
 
 
 def difference_hash(cells: np.ndarray) -> str:
@@ -134,7 +139,8 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     """One row per input row: sizes and digests of payload and stored form, and the feature (tile digest and hash).
 
     The format is BMP where the payload's crc32 is odd, else Netpbm, so equal texts give equal values. Null and empty texts
-    become one row of spaces. keep_media adds the stored image and the NPY tile. No rows give no rows.
+    become one row of spaces; a null id stays null; equal rows give equal rows. Very long texts are stored and read whole, and resized
+    BAND rows at a time. Other columns are not read. keep_media adds the stored image and the NPY tile. No rows give no rows.
     """
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, tile binary" * keep_media

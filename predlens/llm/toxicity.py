@@ -8,6 +8,7 @@ Where a batch's second part falls below zero, the step goes against it, so the c
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -15,15 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, held_out, map_rows, save
+from .common import discard, held_out, map_rows, per_worker, save
 
 #: Most confirmed and unlabelled documents that are learned from; classifiers; the score from which a document is toxic.
 POSITIVE, UNLABELLED, MODELS, LIMIT = 4000, 12000, 3, 0.3
-#: Most features and most candidates for them; least number and share of confirmed documents that have one, and how many
+#: Most candidates for features, the most frequent ones; least number and share of confirmed documents that have one, and how many
 #: times as frequent it must be among them as among the unlabelled.
-FEATURES, CANDIDATES, LEAST, LEAST_SHARE, LIFT = 200, 50_000, 4, 0.005, 4
+CANDIDATES, LEAST, LEAST_SHARE, LIFT = 50_000, 4, 0.005, 4
 #: Beginnings of longer words, in characters, that are features too; each also by whether it comes so often in a text. Words
-#: that a task keeps looked up.
+#: that a worker keeps looked up.
 PREFIXES, TIMES, KEPT = (5, 6, 7), (1, 2, 4), 500_000
 EPOCHS, BATCHES, RATE, SHRINK = 40, 8, 0.05, 1e-4
 words_of = re.compile(r"\w+").findall
@@ -62,19 +63,24 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(z / 2))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float, seed: int) -> np.ndarray:
-    """n weights and a bias, from documents as lists of feature numbers; logistic loss, Adam steps."""
-    rng = np.random.default_rng(seed)
+def risk(w: np.ndarray, p, u, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The clean part of the risk of a batch, and the gradients of the toxic and of the clean part. A batch is (feature numbers,
+    row of each, number of rows)."""
+    n = len(w) - 1
+    zp, zu = (np.bincount(m[1], w[m[0]], m[2]) + w[n] for m in (p, u))
+    gradient = lambda m, each: np.append(np.bincount(m[0], each[m[1]], n), each.sum())
+    clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    as_clean = gradient(u, sigmoid(zu) / u[2]) - prior * gradient(p, sigmoid(zp) / p[2])
+    return clean, prior * gradient(p, (sigmoid(zp) - 1) / p[2]), as_clean
 
-    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        return np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
 
-    def scores(m) -> np.ndarray:
-        return np.bincount(m[1], w[m[0]], m[2]) + w[n]
+def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    return np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
 
-    def gradient(m, each: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(m[0], each[m[1]], n), each.sum())
 
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prior: float, seed: int) -> np.ndarray:
+    """n weights and a bias, from documents as lists of feature numbers; logistic loss, Adam steps."""
+    rng = np.random.default_rng(seed)
     w = np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
     mean, square, t = np.zeros(n + 1), np.zeros(n + 1), 0
@@ -82,11 +88,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prio
         for p_at, u_at in zip(np.array_split(rng.permutation(len(positive)), BATCHES), np.array_split(rng.permutation(len(unlabelled)), BATCHES), strict=True):
             if not len(p_at) or not len(u_at):
                 continue
-            p, u = matrix([positive[i] for i in p_at]), matrix([unlabelled[i] for i in u_at])
-            zp, zu = scores(p), scores(u)
-            clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            as_clean = gradient(u, sigmoid(zu) / u[2]) - prior * gradient(p, sigmoid(zp) / p[2])
-            g = prior * gradient(p, (sigmoid(zp) - 1) / p[2]) + as_clean if clean >= 0 else -as_clean
+            clean, toxic, as_clean = risk(w, matrix([positive[i] for i in p_at]), matrix([unlabelled[i] for i in u_at]), prior)
+            g = toxic + as_clean if clean >= 0 else -as_clean
             g[:n] += SHRINK * w[:n]
             t += 1
             mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
@@ -136,9 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sent = spark.sparkContext.broadcast(often["word"].tolist())  # at most CANDIDATES
     table = often.merge(counted(0, "u", sent).toPandas(), on="word", how="left").fillna({"u": 0})
     p, u = table["p"] / max(1, n_p), table["u"] / max(1, n_u)
-    table["gain"] = (p - u) / np.sqrt((table["p"] + table["u"]) / (n_p + n_u + 1))
-    table = table[p > LIFT * np.maximum(u, 1 / max(1, n_u))].sort_values(["gain", "word"], ascending=[False, True])
-    words = table["word"].head(FEATURES).tolist()
+    words = sorted(table.loc[p > LIFT * np.maximum(u, 1 / max(1, n_u)), "word"])
     sent = spark.sparkContext.broadcast(words)
 
     def features():
@@ -164,15 +165,18 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """One row per input row: doc_id, held_out, score (mean probability of the classifiers), predicted (1 from LIMIT on).
 
     A null or empty text has no words and gets the score of the bias. Without a toxic label to learn from all scores are 0.
-    Very long texts are read whole; equal texts get equal scores; a null id is not held out; other columns are not read.
+    Very long texts are read whole; equal texts, and so repeated rows, get equal scores; a null id is not held out; other columns are
+    not read; no rows give no rows.
     """
     words, weights = fit(docs, labels, doc_id, text, toxic)
     sent = docs.sparkSession.sparkContext.broadcast((words, weights))
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
 
+    own = uuid.uuid4().hex
+
     def make():
         words, weights = sent.value
-        of, bias = Features(words).of, weights[:, -1]
+        of, bias = per_worker(own, lambda: Features(words)).of, weights[:, -1]
 
         def rows(ids, held, texts):
             out = []
