@@ -11,27 +11,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import discard, fresh, save
 
-#: Lines of a window.
-WINDOW = 3
+#: Lines of a window; parts that the places of a common window are dealt to.
+WINDOW, SALTS = 3, 8
+#: Size, estimated, of the places to cut up to which they are sent to every task; above it both sides are sorted and merged.
+SENT_BYTES = 16_000_000
 
 
 def _windows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc, copy (hash of the text), at (line number), h1, h2 (128 bits of the window) for every window."""
+    """doc, copy (hash of the text), at (line number), h1, h2 for every window: each line is hashed twice, and so is the window."""
     lines = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("doc"),
         F.xxhash64(text).alias("copy"),
-        F.transform(F.split(text, "\n", -1), lambda x: F.when(F.trim(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("h"),
+        F.transform(F.split(text, "\n", -1), lambda x: F.when(F.trim(x) == "", "").otherwise(x)).alias("lines"),
+    ).select(
+        "doc",
+        "copy",
+        F.transform("lines", lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("h"),
+        F.transform("lines", lambda x: F.xxhash64(F.lit("second"), x)).alias("g"),
     )
     count = F.size("h") - (WINDOW - 1)
-    parts = [F.slice("h", i + 1, F.greatest(count, F.lit(0))) for i in range(WINDOW)]
+    parts = [F.slice(c, i + 1, F.greatest(count, F.lit(0))) for c in ("h", "g") for i in range(WINDOW)]
     rows = lines.where(count > 0).select("doc", "copy", F.posexplode(F.arrays_zip(*(p.alias(f"l{i}") for i, p in enumerate(parts)))).alias("at", "w"))
     each = [F.col("w")[n] for n in rows.schema["w"].dataType.names]
     some = each[0] != 0
-    for c in each[1:]:
+    for c in each[1:WINDOW]:
         some = some | (c != 0)
-    return rows.where(some).select("doc", "copy", "at", F.xxhash64(*each).alias("h1"), F.xxhash64(F.lit("second"), *each[::-1]).alias("h2"))
+    return rows.where(some).select("doc", "copy", "at", F.xxhash64(*each[:WINDOW]).alias("h1"), F.xxhash64(*each[WINDOW:]).alias("h2"))
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,15 +46,22 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Null text: stays null, no lines. Empty text: one blank line, stays. Under three lines, or a null id: stays as it is.
     Rows with one id and equal texts are one place, so neither removes lines of the other. A document whose lines all go
-    has an empty text. A document's line numbers come together in one row, as its text does; equal windows never do.
+    has an empty text. Very long texts are treated whole, other columns stay as they are, no rows give no rows. A document's line
+    numbers come together in one row, as its text does; equal windows never do: their places are dealt to SALTS parts.
     """
     n_lines, n_removed, key, copy, starts, lines, kept = fresh(docs, "n_lines", "n_removed", "_doc", "_copy", "_starts", "_lines", "_kept")
-    windows = _windows(docs, doc_id, text)
+    spark = docs.sparkSession
+    windows, path = save(_windows(docs, doc_id, text))
     place = F.struct("doc", "copy", "at")
-    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["h1", "h2"]).where(place != F.col("first"))
-    by_doc = later.groupBy(F.col("doc").alias(key), F.col("copy").alias(copy)).agg(F.collect_set("at").alias(starts))
-    joined = docs.join(by_doc.hint("shuffle_hash"), (docs[doc_id] == by_doc[key]) & (F.xxhash64(docs[text]) == by_doc[copy]), "left")
+    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS)).cast("int"))
+    later = dealt.join(first, ["h1", "h2", "salt"]).where(place != F.col("first"))
+    by_doc, _ = save(later.groupBy(F.col("doc").alias(key), F.col("copy").alias(copy)).agg(F.collect_set("at").alias(starts)))
+    discard(spark, path)
+    n, places = by_doc.agg(F.count(F.lit(1)), F.sum(F.size(starts))).first()
+    by_doc = F.broadcast(by_doc) if 48 * n + 8 * (places or 0) <= SENT_BYTES else by_doc.hint("merge")
+    joined = docs.join(by_doc, (docs[doc_id] == by_doc[key]) & (F.xxhash64(docs[text]) == by_doc[copy]), "left")
     covered = F.flatten(F.transform(starts, lambda p: F.array(*(p + i for i in range(WINDOW)))))
     size = F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0))
     done = joined.withColumn(lines, F.when(F.col(starts).isNotNull(), F.split(text, "\n", -1)))

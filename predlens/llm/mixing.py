@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import discard, fresh, save
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources by name, again and again; for each, its share of attention at knots of training time.
@@ -42,19 +42,24 @@ def plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, cap: int = CAP,
     first copy); and the names these have, which differ where docs has such columns.
 
     Null text or id, repeated rows: each row counts by its own size; null sources are one source, the last. A document
-    without words takes none and has no position. No rows give no rows. The order within a source is by md5 of the id, cut
+    without words takes none and has no position. Very long texts count whole; a cut copy is the only part of a text. No rows give no rows. The order within a source is by md5 of the id, cut
     into 4096 buckets: sums of buckets are scanned first, then each bucket by itself, so no task has to hold a source.
     """
+    return _planned(docs, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), F.xxhash64(text), weights, schedules, cap, doc_id, source)
+
+
+def _planned(docs: DataFrame, words: Column, tie_by: Column, weights=WEIGHTS, schedules=SCHEDULES, cap: int = CAP, doc_id: str = "doc_id", source: str = "source") -> tuple[DataFrame, dict[str, str]]:
     names = dict(zip(want := ("size", "source_size", "target", "taken", "copies", "position"), fresh(docs, *want), strict=True))
     src, md5, bucket, before, inner, kind, tie = fresh(docs, "_src", "_md5", "_bucket", "_before", "_inner", "_kind", "_tie")
     size = names["size"]
     rows = docs.withColumns({
-        size: F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"),
+        size: words,
         src: F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), source)),
         md5: F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))),
-        tie: F.xxhash64(text),
+        tie: tie_by,
     }).withColumn(bucket, F.substring(md5, 1, 3))
-    sums = rows.groupBy(src, bucket).agg(F.sum(size).alias("n"))
+    # at most 4096 rows a source, written so that texts are read for them once
+    sums, _ = save(rows.groupBy(src, bucket).agg(F.sum(size).alias("n")))
     # one row a source; their number is that of the sources, not of the documents
     each = sums.groupBy(src).agg(F.sum("n").alias("s"))
     each = each.withColumn(kind, (F.row_number().over(W.orderBy(src)) - 1) % len(weights))
@@ -99,9 +104,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, position of every document, range-sorted by position."""
-    rows, names = plan(docs.select("doc_id", "source", "text"))
+    light, path = save(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n"), F.xxhash64("text").alias("hash")))
+    rows, names = _planned(light, F.col("n"), F.col("hash"))
     out = rows.select("doc_id", *(F.col(names[n]).alias(n) for n in ("size", "source_size", "target", "taken", "position")))
-    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    done, _ = save(out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id"))
+    discard(docs.sparkSession, path)
+    return done
 
 
 def _sql_time(share: str, schedule) -> str:
