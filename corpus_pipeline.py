@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from predlens.llm import bpe_codec, language_id, line_dedup, mixing, near_dedup
-from predlens.llm.common import fresh, save, table
+from predlens.llm.common import discard, fresh, save, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: similarity of 0.8 on five-word shingles."""
+    """One document of each group stays: similarity of 0.8 on five-word shingles, the width that holds where no contract gives one."""
     return near_dedup.keep_one(docs)
 
 
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = save(stage(spark, docs, sf_dir))
+        docs, path = save(stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

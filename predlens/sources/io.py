@@ -25,8 +25,13 @@ def labels_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="predlens-")
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one of a local session;
+    on a cluster that would lose data, so it is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="predlens-")
     return f"{base.rstrip('/')}/predlens-{uuid.uuid4().hex}"
 
 
