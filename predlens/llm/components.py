@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .common import discard, save
 
 
+#: Edges that one task contracts.
+EDGES = 1_000_000
+
+
 def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every node but the smallest of its component among these edges, and that smallest one."""
     names, code = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -31,8 +35,8 @@ def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[child], names[root[child]]
 
 
-def _contracted(edges: DataFrame) -> tuple[DataFrame, str]:
-    """Edges (u, v) as stars of each partition with its number: a task holds the edges of its own shuffle partition."""
+def _contracted(edges: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """n edges (u, v) as stars of each partition; a task holds about EDGES of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
@@ -40,34 +44,35 @@ def _contracted(edges: DataFrame) -> tuple[DataFrame, str]:
             u, v = contract(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return save(edges.distinct().mapInArrow(run, "u long, v long").withColumn("part", F.spark_partition_id()))
+    return save(edges.coalesce(-(-n // EDGES) or 1).mapInArrow(run, "u long, v long"))
 
 
 def _check(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("part")).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
     """(node, root) for every node of edges (u, v) but the roots, which are the smallest of their component; and its path.
 
-    Each partition's edges become stars first, so few steps are left; edges that fit one partition are done by that. A step groups
-    by node with partial minima and joins them back, so a node of very many edges is no group in one task. Each pair of steps is
-    one job, written to the shared folder; the driver sees counts and a checksum.
+    Each partition's edges become stars first, so few steps are left; up to EDGES edges are done by that. A step groups by node with
+    partial minima and joins them back, so a node of very many edges is no group in one task. Each pair of steps is one job, written
+    to the shared folder; the driver sees counts and a checksum.
     """
     spark = edges.sparkSession
-    now, path = _contracted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    seen = _check(now)
-    while seen[2] > 1:
-        now = now.select("u", "v")
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    now, path = save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    seen, before = _check(now), None
+    while seen != before:
+        stars, stars_path = _contracted(now, seen[0])
+        discard(spark, path)
+        if seen[0] <= EDGES:
+            now, path = stars, stars_path
+            break
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new, new_path = _contracted(small.unionByName(least.select("u", F.col("m").alias("v"))))
-        discard(spark, path)
-        now, path, before = new, new_path, seen
-        seen = _check(now)
-        if seen[:2] == before[:2]:
-            break
+        now, path = save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(spark, stars_path)
+        seen, before = _check(now), seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")), path

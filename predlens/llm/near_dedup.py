@@ -33,10 +33,11 @@ from .components import components
 
 #: Minima of a signature; trees, the minima between the beginnings of two trees, and the minima that a tree sorts by.
 HASHES, TREES, STEP, DEPTH = 128, 32, 4, 16
-#: Shared prefixes by which runs are told, from that of a candidate on; nodes of a run of which all pairs are looked at.
-PREFIXES, SMALL = (5, 8, 12, 16), 16
+#: Shared prefixes by which runs are told, from that of a candidate on; nodes of a run of which all pairs are looked at; parts
+#: that the rows of a run are dealt to.
+PREFIXES, SMALL, SALTS = (5, 8, 16), 16, 8
 #: Nodes, and bytes of their sets, of the two sides of a block of a crowded region.
-OUTSIDE, OUTSIDE_BYTES, INSIDE, INSIDE_BYTES = 1024, 8_000_000, 4096, 32_000_000
+OUTSIDE, OUTSIDE_BYTES, INSIDE, INSIDE_BYTES = 256, 4_000_000, 1024, 16_000_000
 #: Similarity of linked documents, in percent.
 SIMILAR = 80
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -319,21 +320,22 @@ class _Linker:
 
 
 def _small_runs(linker: _Linker, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of different components in small runs of rows (tree, key, id, root), and the rows of runs that are large at the
-    shortest prefix."""
+    """Pairs (a, b) of different components in small runs of rows (tree, key, id, root), and (id, lead) of the runs that are large at
+    the shortest prefix; lead is the smallest id of the run. The rows of a run are dealt to SALTS parts."""
     pairs, large = [], None
     for depth in PREFIXES:
-        run = [F.col("tree"), F.substring("key", 1, 2 * depth).alias("run")]
-        own = rows.select(*run, "key", "id", "root")
-        size = own.groupBy("tree", "run").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-        mixed = linker.save(own.join(size.where("low < high").select("tree", "run", "n"), ["tree", "run"]))
+        own = rows.select("tree", F.substring("key", 1, 2 * depth).alias("run"), "key", "id", "root")
+        size = own.groupBy("tree", "run").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("lead"))
+        size = size.where("low < high").select("tree", "run", "n", "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        own = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        mixed = linker.save(own.join(size, ["tree", "run", "salt"]).drop("salt"))
         members = mixed.where(F.col("n") <= SMALL).groupBy("tree", "run").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("m"))
         first = members.select("m", F.posexplode("m").alias("i", "x"))
         each = first.select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("y")).where("x.root <> y.root")
         pairs.append(each.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
         rows = mixed.where(F.col("n") > SMALL)
         if large is None:
-            large = rows
+            large = rows.select("id", "lead")
         if rows.isEmpty():
             break
     out = pairs[0]
@@ -343,10 +345,8 @@ def _small_runs(linker: _Linker, rows: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def _regions(linker: _Linker, large: DataFrame) -> None:
-    """Compares what is still apart in large runs (tree, run, id)."""
-    rows = linker.roots(large.select("tree", "run", "id"), "id", "root")
-    size = rows.groupBy("tree", "run").agg(F.min("id").alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"))
-    edges = linker.save(rows.join(size.where("low < high"), ["tree", "run"]).select("id", "lead").distinct())
+    """Compares what is still apart in large runs (id, lead): runs that share nodes are a region."""
+    edges = linker.save(large.distinct())
     if edges.isEmpty():
         return
     joined, path = components(edges.toDF("u", "v"))
