@@ -54,7 +54,7 @@ def test(records: DataFrame, tests: list[tuple[str, str]], cfg: Config = DEFAULT
     return out.select(*columns)
 
 
-def answer(questions: DataFrame, records: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def answer(questions: DataFrame, records: DataFrame, cfg: Config = DEFAULT, patterns=HYPOTHESES) -> DataFrame:
     """Questions with their axis, value and the result of the test; the tests are those of the patterns, not one a question."""
-    tests = list(dict.fromkeys((a, v) for _, a, v in HYPOTHESES))
-    return parse(questions).join(test(records, tests, cfg), ["axis", "value"], "left")
+    tests = list(dict.fromkeys((a, v) for _, a, v in patterns))
+    return parse(questions, patterns=patterns).join(test(records, tests, cfg), ["axis", "value"], "left")

@@ -10,9 +10,10 @@ from ..functions import columns as C
 from .curate import last_wins
 
 
-def human_labels(records: DataFrame, labels: DataFrame, image: str = "image", label: str = "dx") -> DataFrame:
-    """Adds human_label: the label of the file's stem, else of its full name. Of several for one key the last counts."""
-    table = labels.select(F.col(image).alias("_key"), F.col(label).alias("_label"), F.monotonically_increasing_id().alias("_n"))
+def human_labels(records: DataFrame, labels: DataFrame, image: str = "image", label: str = "dx", order: str | None = None) -> DataFrame:
+    """Adds human_label: the label of the file's stem, else of its full name. Of several for one key the last by the order column
+    counts; without one, rows of a file have no order, and it is the greatest label."""
+    table = labels.select(F.col(image).alias("_key"), F.col(label).alias("_label"), F.col(order or label).alias("_n"))
     table = last_wins(table, "_key", "_label", "_n")
     out = records.join(table.toDF("_stem", "_a"), C.stem("path") == F.col("_stem"), "left").join(table.toDF("_name", "_b"), C.base_name("path") == F.col("_name"), "left")
     return out.withColumn("human_label", F.coalesce(F.nullif("_a", F.lit("")), F.col("_b"))).drop("_stem", "_a", "_name", "_b")

@@ -12,20 +12,28 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import DEFAULT, Config
 from ..operators import active, calibrate, drift, fairness, hypothesis, ingest_qc, papers, qa
-from ..sources.io import append_run
+from ..sources.io import append_run, exists, run_log, shared_dir
 
 Stage = Callable[[dict[str, DataFrame]], DataFrame]
 
 
-def run_stage(spark: SparkSession, name: str, stage: Stage, tables: dict[str, DataFrame], log: str | None = None, count: int = 1) -> DataFrame | None:
-    """Runs a stage, appends a line to the run log whether it succeeds or not, and gives its table, or None after an error."""
+def next_run(spark: SparkSession, name: str, log: str) -> int:
+    """Number of an agent's next run, by its lines in the run log."""
+    return run_log(spark, log).where(F.col("agent") == name).count() + 1 if exists(spark, log) else 1
+
+
+def run_stage(spark: SparkSession, name: str, stage: Stage, tables: dict[str, DataFrame], log: str | None = None) -> DataFrame | None:
+    """Executes a stage: its rows are written to the shared folder and read back. Then appends a line to the run log, whether it
+    succeeded or not, and gives its table, or None after an error."""
     out, status, error, began = None, "success", None, time.time()
     try:
-        out = stage(tables)
-        out.schema  # noqa: B018  a plan that can't be analysed fails here
+        done, path = stage(tables), shared_dir(spark)
+        done.write.parquet(path)
+        out = spark.read.schema(done.schema).parquet(path)
     except Exception as e:
         status, error = "error", str(e)[:500]
     if log:
+        count = next_run(spark, name, log)
         line = [(name, count, datetime.now(UTC).replace(tzinfo=None), status, error, f'{{"elapsed_s": {time.time() - began:.3f}}}')]
         append_run(spark.createDataFrame(line, schemas.RUN_LOG), log)
     return out

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import config
+from .. import config, schemas
 from ..config import CLASSES, DEFAULT
 from ..functions import columns as C
 from ..functions import stats
@@ -142,16 +142,28 @@ def prob_map_ranked(spark, d):
     return out.select("image_id", F.array_join(F.transform(C.ranked("m"), lambda e: e["key"]), ",").alias("ranked"))
 
 
-@query()
-def fhir_export(spark, d):
-    out = score.scan_results(V.records(spark, d)).withColumns({"scan_id": F.col("image_id"), "timestamp": F.col("ts")})
-    return score.to_fhir(out)
+_CODES = f"(VALUES {_values(config.FULL_NAMES, config.ICD10, config.SNOMED)}) AS c(pred_class, full_name, icd10, snomed)"
 
 
-@query()
+@query(triage_sql(f"""SELECT image_id AS scan_id, 'DiagnosticReport' AS kind, image_id AS id, concat(verdict, ': ', full_name) AS conclusion,
+coalesce(icd10, 'L98.9') AS code, full_name AS display, round(probs[1], 4) AS mel_score FROM tri JOIN {_CODES} USING (pred_class)"""))
+def fhir_export(spark, d):
+    """The report's fields, read back from its JSON; of the conclusion what stands before the percentage, whose ties at .05 the two
+    engines round in different ways."""
+    out = score.to_fhir(score.scan_results(V.records(spark, d)).withColumns({"scan_id": F.col("image_id"), "timestamp": F.col("ts")}))
+    field = lambda path, name: F.get_json_object("report", path).alias(name)
+    coding = "$.conclusionCode[0].coding[0]"
+    return out.select(
+        "scan_id", field("$.resourceType", "kind"), field("$.id", "id"), F.regexp_extract(F.get_json_object("report", "$.conclusion"), r"^(.*) \(", 1).alias("conclusion"), field(f"{coding}.code", "code"), field(f"{coding}.display", "display"),
+        F.get_json_object("report", "$.extension[0].valueDecimal").cast("double").alias("mel_score"),
+    )
+
+
+@query(triage_sql(f"""SELECT image_id, verdict, {_PRIORITY} AS priority, full_name AS pred_class_full, concat(CASE verdict WHEN 'CANCER_FLAGGED' THEN 'Cancer Flagged' WHEN 'REVIEW_REQUIRED' THEN 'Review Required' ELSE 'Normal' END,
+' — ', full_name, ' detected with ', printf('%.1f', top * 100), '% confidence.') AS plain_summary, round(probs[1], 4) AS p_mel, round(probs[2], 4) AS p_nv, icd10, snomed FROM tri JOIN {_CODES} USING (pred_class)"""))
 def scan_results(spark, d):
     out = score.scan_results(V.records(spark, d))
-    return out.select("image_id", "verdict", "priority", "pred_class_full", "plain_summary", F.to_json("probs").alias("probs"), "icd10", "snomed")
+    return out.select("image_id", "verdict", "priority", "pred_class_full", "plain_summary", F.round(F.col("probs")["mel"], 4).alias("p_mel"), F.round(F.col("probs")["nv"], 4).alias("p_nv"), "icd10", "snomed")
 
 
 @query("SELECT doc_id, n_chars > 5000 AS rejected FROM documents")
@@ -363,9 +375,13 @@ def ttest_group_vs_rest(spark, d):
     return out.select("axis", "value", "n_group", "n_rest", "mean_conf_group", "mean_conf_rest", "direction", "t_statistic")
 
 
-@query()
+@query(f"""WITH {V.RECORDS}, tests(axis, value) AS (VALUES {", ".join(f"('{a}', '{v}')" for a, v in TESTS)}),
+src AS (SELECT axis || '|' || value || '|' || (coalesce(lower(CASE t.axis WHEN 'sex' THEN sex WHEN 'site' THEN site WHEN 'flag' THEN flag ELSE pred_class END), 'nan') = lower(t.value)) AS grp, mel_prob, human_label FROM people, tests t WHERE human_label IS NOT NULL),
+{auc_sql("grp", "mel_prob", "(human_label = 'mel')", "src")}
+SELECT split_part(g, '|', 1) AS axis, split_part(g, '|', 2) AS value, max(auc) FILTER (g LIKE '%|true') AS mel_auc_group, max(auc) FILTER (g LIKE '%|false') AS mel_auc_rest FROM auc GROUP BY ALL""")
 def hypothesis_results(spark, d):
-    return hypothesis.test(V.records(spark, d, site=True), TESTS)
+    """AUC of both sides; ttest_group_vs_rest has the other columns, tests the p-value."""
+    return hypothesis.test(V.records(spark, d, site=True), TESTS, with_p=False).select("axis", "value", "mel_auc_group", "mel_auc_rest")
 
 
 _PATTERNS = (("worse.*(eau|tion)", "site", "torso"), ("en.*(der|que)", "sex", "female"), ("the", "flag", "LOW_CONFIDENCE"))
@@ -429,7 +445,7 @@ def with_existing_file(spark, d):
     return curate.with_file(rows.withColumn("key", F.col("l_partkey").cast("string")), files, "key").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS leaking_groups")
+@query("SELECT count(*) - count(DISTINCT o_custkey) AS leaking_groups FROM (SELECT DISTINCT o_custkey, 0 AS split FROM orders)")
 def group_split_leakage(spark, d):
     return curate.leaks(curate.group_split(V.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey"), "o_custkey")
 
@@ -742,7 +758,8 @@ def digest_row(spark, d):
     return questions.digest(_metrics(spark, d), last, papers.rank(V.papers(spark, d), "doc_id", keywords=KEYWORDS))
 
 
-@query()
+@query(f"""WITH {V.RECORDS}, src AS (SELECT human_label, unnest([{", ".join(f"'{c}'" for c in CLASSES)}]) AS of, unnest([round(p, 4) FOR p IN probs]) AS score FROM records WHERE human_label IS NOT NULL), {auc_sql("of", "score", "(human_label = of)", "src")}
+SELECT c.pred_class, auc.auc, c.full_name FROM (VALUES {_values(config.FULL_NAMES)}) AS c(pred_class, full_name) LEFT JOIN auc ON auc.g = c.pred_class""")
 def class_auc_table(spark, d):
     rows = V.records(spark, d)
     pairs = F.explode(F.arrays_zip(C.strings(CLASSES).alias("c"), F.transform("probs", lambda p: F.round(p, 4)).alias("p")))
@@ -752,6 +769,63 @@ def class_auc_table(spark, d):
     return questions.class_auc_table(metrics.toDF(*(f"{c}_auc" for c in CLASSES)))
 
 
+# sources and sinks: given tables written out in a format, and read back
+
+
+@query(rec("SELECT image_id AS image, upper(pred_class) AS label FROM records"))
+def labels_csv_scan(spark, d):
+    """Through the CSV sink by split, and the scan of all CSV files below a folder."""
+    path = io.shared_dir(spark)
+    one = _onehot(spark, d).drop("l_partkey").withColumn("split", F.when(F.pmod(F.xxhash64("image"), F.lit(5)) == 0, "val").otherwise("train"))
+    io.write_split(one, path, "csv")
+    return io.labels_csv(spark, path, schemas.ONEHOT_7).select("image", C.onehot_label(_UPPER).alias("label"))
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def versioned_csv_scan(spark, d):
+    """The newest version that exists; an optional file that does not exist adds nothing."""
+    path = io.shared_dir(spark)
+    V.table(spark, d, "documents").select("doc_id", "lang", "n_chars").write.option("header", True).csv(f"{path}/v1")
+    if io.optional_csv(spark, f"{path}/none", "doc_id long") is not None:
+        raise AssertionError("a file that does not exist was read")
+    return io.versioned_csv(spark, [f"{path}/v2", f"{path}/v1"], "doc_id long, lang string, n_chars long")
+
+
+@query(rec("SELECT image_id, pred_class, confidence_score, flag FROM records"))
+def report_records_scan(spark, d):
+    """QA reports, one a batch, through the JSON sink and back to their records."""
+    path = io.shared_dir(spark)
+    rows = V.records(spark, d).select("batch_id", F.struct("image_id", "pred_class", "confidence_score", "flag").alias("r"))
+    # a report holds the records of a bounded part of a batch, as a report of one run does
+    part = F.pmod(F.xxhash64("r.image_id"), F.lit(64))
+    io.write_json(rows.groupBy("batch_id", part.alias("part")).agg(F.lit("query").alias("trigger"), F.count(F.lit(1)).cast("int").alias("total_images"), F.collect_list("r").alias("records")).drop("batch_id", "part"), path)
+    return spark.read.schema(schemas.QA_REPORT).json(path).select(F.explode("records").alias("r")).select("r.image_id", "r.pred_class", "r.confidence_score", "r.flag")
+
+
+@query("SELECT doc_id, concat('doc-', doc_id, '/', lang) AS patient_id, CASE WHEN doc_id % 4 = 0 THEN concat('img-', doc_id) ELSE concat('les-', doc_id // 3) END AS lesion FROM documents WHERE lang IS NOT NULL")
+def patient_keys(spark, d):
+    """Patient and lesion keys; a missing lesion falls back to the image."""
+    docs = V.table(spark, d, "documents").where(F.col("lang").isNotNull())
+    lesion = F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("les-"), F.floor(F.col("doc_id") / 3).cast("string")))
+    return docs.select("doc_id", F.concat_ws("/", F.concat(F.lit("doc-"), "doc_id"), "lang").alias("patient_id"), F.coalesce(lesion, F.concat(F.lit("img-"), "doc_id")).alias("lesion"))
+
+
+@query(f"WITH {V.RECORDS} SELECT image_id, sex, site FROM people")
+def demographics_join(spark, d):
+    """Demographics joined back by image id, in place of those of the records."""
+    people = V.records(spark, d, site=True)
+    return fairness.with_demographics(people.drop("sex", "site"), people.select("image_id", "sex", "site")).select("image_id", "sex", "site")
+
+
+@query("""SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS human_label FROM orders GROUP BY o_custkey""")
+def last_label_wins(spark, d):
+    """Of several labels of one image the last by order key counts."""
+    orders = V.table(spark, d, "orders")
+    labels = orders.select(F.concat(F.lit("c"), "o_custkey").alias("image"), F.col("o_orderstatus").alias("dx"), "o_orderkey")
+    rows = orders.select("o_custkey").distinct().withColumn("path", F.concat(F.lit("/in/c"), "o_custkey", F.lit(".jpg")))
+    return qa.human_labels(rows, labels, order="o_orderkey").select("o_custkey", "human_label")
+
+
 # streams: the same rows through a file source
 
 
