@@ -239,18 +239,18 @@ def joining(ids: list[np.ndarray], roots: list[np.ndarray], near: np.ndarray) ->
 
 
 def _crowded(dense: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Links (a, b) that join the components of each region. dense: id, region, root, outside (not of the largest component)."""
+    """Links (a, b) that join the components of each region. dense: id, region, root, outside
+    and met: the nodes outside meet those to be met, in blocks that hashes of both deal them to, so no key is hot."""
     rows = dense.join(sets, "id")
     bytes_of = lambda c: F.sum(F.when(c, F.length("set")).otherwise(0))
-    every = F.lit(True)
-    size = rows.groupBy("region").agg(F.count_if("outside").alias("n_out"), F.count(F.lit(1)).alias("n"), bytes_of(F.col("outside")).alias("b_out"), bytes_of(every).alias("b"))
+    size = rows.groupBy("region").agg(F.count_if("outside").alias("n_out"), F.count_if("met").alias("n"), bytes_of(F.col("outside")).alias("b_out"), bytes_of(F.col("met")).alias("b"))
     blocks = lambda n, most, size, bytes_: F.greatest(F.ceil(F.col(n) / most), F.ceil(F.col(size) / bytes_)).cast("int")
-    size = size.where("n_out > 0").select("region", blocks("n_out", OUTSIDE, "b_out", OUTSIDE_BYTES).alias("outs"), blocks("n", INSIDE, "b", INSIDE_BYTES).alias("ins"))
+    size = size.where("n_out > 0 AND n > 0").select("region", blocks("n_out", OUTSIDE, "b_out", OUTSIDE_BYTES).alias("outs"), blocks("n", INSIDE, "b", INSIDE_BYTES).alias("ins"))
     rows = rows.join(size, "region")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asking = rows.where("outside").select("region", "id", "root", "set", own("outs").alias("out"), each("ins").alias("in"))
-    asked = rows.select("region", "id", "root", "set", own("ins").alias("in"), each("outs").alias("out"))
+    asked = rows.where("met").select("region", "id", "root", "set", own("ins").alias("in"), each("outs").alias("out"))
     asking, asked = asking.toDF(*asking.columns), asked.toDF(*asked.columns)
     key = ["region", "out", "in"]
 
@@ -355,23 +355,20 @@ def _regions(linker: _Linker, large: DataFrame) -> None:
     nodes = linker.save(nodes.select("id", F.coalesce("region", "id").alias("region")))
 
     def placed() -> DataFrame:
-        """id, region, root, outside."""
+        """id, region, root, outside: whether it is not in the region's largest component."""
         own = linker.roots(nodes, "id", "root")
         count = own.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
         largest = count.groupBy("region").agg(F.max(F.struct("n", "root")).alias("x")).select("region", F.col("x.root").alias("most"))
         return own.join(largest, "region").select("id", "region", "root", (F.col("root") != F.col("most")).alias("outside"))
 
-    def with_hubs() -> DataFrame:
-        ends = linker.links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        own = linker.roots(nodes, "id", "root")
-        hub = own.join(ends, "id").groupBy("region").agg(F.max(F.struct("n", "id", "root")).alias("x"))
-        met = own.join(hub.select("region", F.col("x.id").alias("hub"), F.col("x.root").alias("hub_root")), "region").where("root <> hub_root")
-        return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-
-    linker.compare(linker.untried(with_hubs()))
+    # the best linked node of each region
+    ends = linker.links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    hubs = nodes.join(ends, "id").groupBy("region").agg(F.max(F.struct("n", "id")).alias("x")).select("region", F.col("x.id").alias("hub"))
+    met = linker.roots(nodes, "id", "root").join(hubs, "region").withColumns({"outside": F.col("id") != F.col("hub"), "met": F.col("id") == F.col("hub")})
+    linker.merge(_crowded(linker.save(met.drop("hub")), linker.sets, linker.similar))
     dense = linker.save(placed())
     outside = dense.where("outside").select("region").distinct()
-    linker.merge(_crowded(dense.join(outside, "region"), linker.sets, linker.similar))
+    linker.merge(_crowded(dense.join(outside, "region").withColumn("met", F.lit(True)), linker.sets, linker.similar))
 
 
 def link(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
