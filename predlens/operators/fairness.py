@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -18,14 +18,22 @@ def with_demographics(records: DataFrame, metadata: DataFrame, columns=("sex", "
     return records.drop(*there).join(metadata.select("image_id", *there), "image_id", "left")
 
 
+def by_axes(records: DataFrame, axes=("sex", "age", "site"), cfg: Config = DEFAULT, score: str = "mel_prob", label: str = "human_label") -> DataFrame:
+    """axis, group, n, auc of each subgroup, all axes in one pass; numeric ages go to bands. Rows lacking label or score are left
+    out, and of each axis those lacking the group."""
+
+    def group(axis: str) -> Column:
+        bands = axis == "age" and records.schema[axis].dataType.typeName() != "string"
+        return (C.age_band(axis) if bands else F.col(axis)).cast("string")
+
+    own = F.array(*(F.struct(F.lit(a).alias("axis"), group(a).alias("group")) for a in axes))
+    rows = records.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.explode(own).alias("x"), score, label).where(F.col("x.group").isNotNull())
+    return stats.auc(rows.select("x.*", score, label), ["axis", "group"], score, F.col(label) == cfg.positive).select("axis", "group", "n", "auc")
+
+
 def by_axis(records: DataFrame, axis: str, cfg: Config = DEFAULT, score: str = "mel_prob", label: str = "human_label") -> DataFrame:
-    """axis, group, n, auc of each subgroup; numeric ages go to bands. Rows lacking group, label or score are left out."""
-    group = F.col(axis)
-    if axis == "age" and records.schema[axis].dataType.typeName() != "string":
-        group = C.age_band(axis)
-    rows = records.where(F.col(label).isNotNull() & F.col(score).isNotNull()).withColumn("group", group.cast("string")).where(F.col("group").isNotNull())
-    out = stats.auc(rows, ["group"], score, F.col(label) == cfg.positive)
-    return out.select(F.lit(axis).alias("axis"), "group", "n", "auc")
+    """by_axes of one axis."""
+    return by_axes(records, (axis,), cfg, score, label)
 
 
 def axis_status(records: DataFrame, axes=("sex", "age", "site")) -> DataFrame:

@@ -45,7 +45,7 @@ def stages(cfg: Config = DEFAULT, tests: list[tuple[str, str]] | None = None, wi
         "verification": lambda t: qa.flag_counts(t["records"], ["batch_id"]),
         "active_learning": lambda t: active.queue(active.uncertainty(t["records"])),
         "drift": lambda t: drift.report(t["records"], ["batch_id"], cfg),
-        "fairness": lambda t: fairness.by_axis(t["records"], "sex", cfg).unionByName(fairness.by_axis(t["records"], "age", cfg)).unionByName(fairness.by_axis(t["records"], "site", cfg)),
+        "fairness": lambda t: fairness.by_axes(t["records"], cfg=cfg),
         "calibration": lambda t: calibrate.report(t["records"], cfg=cfg),
     }
     if tests:

@@ -57,11 +57,12 @@ def softmax_predict(spark, d):
     return V.records(spark, d).select("image_id", "pred_class", *flat("probs", CLASSES))
 
 
-@query(f"""WITH f AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:7]] AS l FROM embeddings), e AS (SELECT vec_id, [exp(x - list_max(l)) FOR x IN l] AS e FROM f)
-SELECT vec_id, {flat_sql('[x / list_sum(e) FOR x IN e]', SEVEN)} FROM e""")
+@query(f"""WITH f AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS l FROM embeddings), e AS (SELECT vec_id, [exp(x - list_max(l)) FOR x IN l] AS e FROM f),
+p AS (SELECT vec_id, [x / list_sum(e) FOR x IN e] AS p FROM e) SELECT vec_id, {flat_sql('p', SEVEN)}, round(list_max(p), 4) AS top FROM p""")
 def softmax_float32(spark, d):
-    rows = V.table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 7).alias("l"))
-    return rows.select("vec_id", C.softmax("l").alias("p")).select("vec_id", *flat("p", SEVEN))
+    """Over all components; the first seven probabilities and the largest."""
+    rows = V.table(spark, d, "embeddings").select("vec_id", C.softmax("embedding").alias("p"))
+    return rows.select("vec_id", *flat("p", SEVEN), F.round(F.array_max("p"), 4).alias("top"))
 
 
 @query(rec("SELECT image_id, confidence_score, mel_prob FROM records"))
@@ -173,15 +174,19 @@ def size_guard(spark, d):
     return fits.select("doc_id", F.lit(False).alias("rejected")).unionByName(rejects.select("doc_id", F.lit(True).alias("rejected")))
 
 
-def _double_first(*_: str):
-    """A stand-in for a model: the features are the logits."""
-    return lambda x: x[:, :7].astype("float64")
+def _linear():
+    """A stand-in for a model: seven sums of all 64 features, weighed by quarters."""
+    import numpy as np
 
+    weights = ((np.arange(64)[:, None] * 7 + np.arange(7) * 3) % 5 - 2) / 4
+    return lambda x: x.astype("float64") @ weights
 
-@query(f"SELECT vec_id, {flat_sql('CAST(embedding AS DOUBLE[])', SEVEN)} FROM embeddings")
+
+@query(f"""WITH f AS (SELECT vec_id, [list_sum([CAST(embedding[i] AS DOUBLE) * (((i - 1) * 7 + k * 3) % 5 - 2) * 0.25::DOUBLE FOR i IN range(1, 65)]) FOR k IN range(7)] AS l FROM embeddings)
+SELECT vec_id, {flat_sql('l', SEVEN)} FROM f""")
 def batch_scoring(spark, d):
     rows = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    scored = score.score_batch(rows, _double_first, ["x"], 256, shapes=[[64]])
+    scored = score.score_batch(rows, _linear, ["x"], 256, shapes=[[64]])
     return scored.select("vec_id", *flat("logits", SEVEN))
 
 
@@ -299,8 +304,7 @@ def auc_by_site(spark, d):
 
 
 def _groups(spark, d):
-    rows = V.records(spark, d, age=True, site=True)
-    return fairness.by_axis(rows, "sex").unionByName(fairness.by_axis(rows, "age")).unionByName(fairness.by_axis(rows, "site"))
+    return fairness.by_axes(V.records(spark, d, age=True, site=True))
 
 
 def _all_axes_sql(sql: str) -> str:

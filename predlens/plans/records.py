@@ -52,9 +52,9 @@ def scans(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) ->
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as papers: the first sixty characters as title, the first three hundred as abstract; texts are read whole."""
+    """Documents as papers: the whole text is the title, the first three hundred characters are the excerpt that a paper carries."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.col("lang").alias("query"), F.substring("text", 1, 60).alias("title"), C.excerpt("text").alias("abstract_excerpt"))
+    return d.select("doc_id", F.col("lang").alias("query"), F.col("text").alias("title"), C.excerpt("text").alias("abstract_excerpt"))
 
 
 _NAMES = "[" + ", ".join(f"'{c}'" for c in CLASSES) + "]"
@@ -79,4 +79,4 @@ SCANS = """
 scans AS (SELECT event_id AS scan_id, user_id AS patient_id, ts AS "timestamp", CASE WHEN event_type = 'error' THEN 'CANCER_FLAGGED'
   WHEN event_type IN ('click', 'purchase') THEN 'REVIEW_REQUIRED' ELSE 'NORMAL' END AS verdict, event_type AS pred_class, value / 500 AS confidence FROM events)
 """
-PAPERS = "papers AS (SELECT doc_id, lang AS query, substr(text, 1, 60) AS title, substr(text, 1, 300) AS abstract_excerpt FROM documents)"
+PAPERS = "papers AS (SELECT doc_id, lang AS query, text AS title, substr(text, 1, 300) AS abstract_excerpt FROM documents)"
