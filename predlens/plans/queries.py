@@ -748,7 +748,10 @@ def metric_flags(spark, d):
     return questions.metric_flags(_metrics(spark, d)).withColumn("metric_flags", F.concat_ws(",", "metric_flags"))
 
 
-@query()
+@query(f"""WITH {V.RECORDS}, {_DRIFT}, {_UNCERTAIN}, {_EVAL}, b AS (SELECT bin, count(*) AS n, sum(conf) AS c, sum(acc) AS a FROM bn GROUP BY bin), t AS (SELECT sum(n) AS n, sum(c) / sum(n) - sum(a) / sum(n) AS o FROM b)
+SELECT (SELECT count(*) FROM records WHERE flag = 'ANNOTATION_CONFLICT') AS conflicts, (SELECT count(*) FROM records WHERE flag = 'AMBIGUOUS') AS ambiguous, (SELECT count(*) FROM records WHERE flag = 'LOW_CONFIDENCE') AS low_confidence,
+(SELECT severity FROM rep ORDER BY batch_id DESC LIMIT 1) AS severity, (SELECT CASE WHEN n < 10 THEN NULL WHEN o > 0.10 THEN 'increase temperature' WHEN o < -0.10 THEN 'decrease temperature' ELSE 'no recalibration needed' END FROM t) AS recommendation,
+(SELECT round(avg(uncertainty_score) * 0.01, 4) FROM (SELECT * FROM scored ORDER BY uncertainty_score DESC, image_id LIMIT 50)) AS est_auc_gain""")
 def key_findings(spark, d):
     rows = V.records(spark, d)
     totals = qa.flag_counts(rows, [])
@@ -756,10 +759,13 @@ def key_findings(spark, d):
     return questions.key_findings(totals, last, calibrate.report(rows), active.summary(active.queue(active.uncertainty(rows))))
 
 
-@query()
+@query(f"""{drift_sql("").rstrip()}, {V.PAPERS}, {_FIRST}, {_CONF}, ranked AS (SELECT title, round(({_HITS}) / {float(len(KEYWORDS))}::DOUBLE, 3) AS relevance FROM ft WHERE nth = 1 ORDER BY relevance DESC, doc_id LIMIT 20),
+picked AS (SELECT * FROM ranked ORDER BY relevance DESC, title LIMIT 5) SELECT sensitivity, specificity, fnr, severity, kl_divergence, (SELECT string_agg(md5(title), ',' ORDER BY relevance DESC, title) FROM picked) AS papers
+FROM mt, (SELECT severity, kl_divergence FROM rep ORDER BY batch_id DESC LIMIT 1)""")
 def digest_row(spark, d):
     last = io.latest(drift.report(V.records(spark, d), ["batch_id"]), "batch_id").select("severity", "kl_divergence")
-    return questions.digest(_metrics(spark, d), last, papers.rank(V.papers(spark, d), "doc_id", keywords=KEYWORDS))
+    out = questions.digest(_metrics(spark, d), last, papers.rank(V.papers(spark, d), "doc_id", keywords=KEYWORDS))
+    return out.withColumn("papers", F.array_join(F.transform("papers", F.md5), ","))
 
 
 @query(f"""WITH {V.RECORDS}, src AS (SELECT human_label, unnest([{", ".join(f"'{c}'" for c in CLASSES)}]) AS of, unnest([round(p, 4) FOR p IN probs]) AS score FROM records WHERE human_label IS NOT NULL), {auc_sql("of", "score", "(human_label = of)", "src")}
@@ -797,13 +803,140 @@ def versioned_csv_scan(spark, d):
 
 @query(rec("SELECT image_id, pred_class, confidence_score, flag FROM records"))
 def report_records_scan(spark, d):
-    """QA reports, one a batch, through the JSON sink and back to their records."""
+    """QA reports of a thousand orders each, one JSON file a report, and back to their records."""
+    path = io.shared_dir(spark)
+    rows = V.records(spark, d).select(F.floor(F.col("l_orderkey") / 1000).alias("part"), F.struct("image_id", "pred_class", "confidence_score", "flag").alias("r"))
+    reports = rows.groupBy("part").agg(F.lit("query").alias("trigger"), F.count(F.lit(1)).cast("int").alias("total_images"), F.collect_list("r").alias("records"))
+    reports.write.partitionBy("part").json(path)
+    return io.report_records(spark, path).select("image_id", "pred_class", "confidence_score", "flag")
+
+
+@query("SELECT coalesce(nullif(source, ''), '__HIVE_DEFAULT_PARTITION__') AS source, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS bytes FROM documents GROUP BY ALL")
+def file_scan(spark, d):
+    """Texts in files by source, found by their suffix at any depth; only their sizes are read."""
+    path = io.shared_dir(spark)
+    V.table(spark, d, "documents").select("text", "source").write.partitionBy("source").text(path)
+    spark.range(3).select(F.col("id").cast("string")).write.option("header", True).csv(f"{path}/other")
+    found = io.image_files(spark, path, suffixes=(".txt",))
+    return found.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("length").alias("bytes"))
+
+
+@query("SELECT CAST(sum(length(CAST(doc_id AS VARCHAR)) + coalesce(length(CAST(n_chars AS VARCHAR)), 0) + 2) AS BIGINT) AS bytes, true AS named FROM documents")
+def session_listing(spark, d):
+    path = io.shared_dir(spark)
+    V.table(spark, d, "documents").select("doc_id", "n_chars").write.csv(path)
+    listed = io.sessions(spark, path)
+    return listed.agg(F.sum("size").alias("bytes"), F.bool_and((F.length("session") > 0) & F.col("created").isNotNull()).alias("named"))
+
+
+@query("SELECT concat('scan-', n_nationkey) AS scan_id, n_name AS pred_class, CAST(n_regionkey AS INTEGER) AS priority FROM nation")
+def scan_folder(spark, d):
+    """One scan a nation, one JSON file a scan; a file that holds no scan is skipped."""
+    path = io.shared_dir(spark)
+    nation = V.table(spark, d, "nation")
+    rows = nation.select(F.col("n_nationkey").alias("file"), F.concat(F.lit("scan-"), "n_nationkey").alias("scan_id"), F.col("n_name").alias("pred_class"), F.col("n_regionkey").alias("priority"))
+    rows.write.partitionBy("file").json(path)
+    nation.limit(1).select(F.lit("no scan")).write.text(f"{path}/file=-1")
+    return io.scan_results(spark, path).select("scan_id", "pred_class", "priority")
+
+
+@query(rec(f"SELECT batch_id, {_FLAG_COUNTS} FROM records GROUP BY batch_id"))
+def all_reports_listing(spark, d):
+    """One report a batch, written and listed with the time of its file."""
     path = io.shared_dir(spark)
-    rows = V.records(spark, d).select("batch_id", F.struct("image_id", "pred_class", "confidence_score", "flag").alias("r"))
-    # a report holds the records of a bounded part of a batch, as a report of one run does
-    part = F.pmod(F.xxhash64("r.image_id"), F.lit(64))
-    io.write_json(rows.groupBy("batch_id", part.alias("part")).agg(F.lit("query").alias("trigger"), F.count(F.lit(1)).cast("int").alias("total_images"), F.collect_list("r").alias("records")).drop("batch_id", "part"), path)
-    return spark.read.schema(schemas.QA_REPORT).json(path).select(F.explode("records").alias("r")).select("r.image_id", "r.pred_class", "r.confidence_score", "r.flag")
+    counts = qa.flag_counts(V.records(spark, d), ["batch_id"])
+    counts.withColumn("report", F.col("batch_id")).write.partitionBy("report").json(path)
+    listed = io.all_reports(spark, path, ", ".join(f"{c} long" for c in counts.columns))
+    return listed.where(F.col("written").isNotNull()).select(*counts.columns)
+
+
+@query("SELECT event_type AS agent, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INTEGER) AS run_count, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status, CAST(event_id AS VARCHAR) AS payload FROM events")
+def run_log_append(spark, d):
+    """Events as runs, appended to a log in two turns and read back; lines that are no JSON are skipped."""
+    path = io.shared_dir(spark)
+    rows = _log(spark, d).withColumnsRenamed({"run_count": "event_id"}).withColumns({"timestamp": F.col("timestamp").cast("timestamp"), "payload": F.col("event_id").cast("string")})
+    runs = io.numbered(rows, order="event_id").drop("event_id")
+    for side in (True, False):
+        io.append_run(runs.where((F.col("run_count") % 2 == 0) == F.lit(side)), path)
+    rows.limit(1).select(F.lit("{no run")).write.mode("append").text(path)
+    return io.run_log(spark, path).select("agent", "run_count", "status", "payload")
+
+
+@query("""WITH p AS (SELECT doc_id, concat('Title ', md5(text)) AS title, source AS journal, substr(repeat(md5(text), 10), 1, 300) AS abstract_excerpt FROM documents WHERE text IS NOT NULL)
+SELECT CASE WHEN doc_id % 2 = 0 THEN 'pubmed' ELSE 'arxiv' END AS source, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END AS pmid, title, CASE WHEN doc_id % 2 = 0 THEN journal END AS journal, CASE WHEN doc_id % 2 = 0 THEN '2001' END AS "year",
+abstract_excerpt, CASE WHEN doc_id % 2 = 0 THEN concat('https://pubmed.ncbi.nlm.nih.gov/', doc_id, '/') ELSE concat('id-', doc_id) END AS url, 'skin' AS query, CAST(doc_id % 2 AS INTEGER) AS feed_no FROM p""")
+def paper_feeds(spark, d):
+    """Papers as article XML and as an Atom feed, read back and put together; those without a title go."""
+    path, docs = io.shared_dir(spark), V.table(spark, d, "documents")
+    digest, even = F.md5("text"), F.col("doc_id") % 2 == 0
+    docs = docs.select("doc_id", "source", F.concat(F.lit("Title "), digest).alias("title"), F.repeat(digest, F.lit(10)).alias("body"))
+    issue = F.struct(F.struct(F.lit("2001").alias("Year")).alias("PubDate")).alias("JournalIssue")
+    article = F.struct(F.col("title").alias("ArticleTitle"), F.struct(F.col("body").alias("AbstractText")).alias("Abstract"), F.struct(F.col("source").alias("Title"), issue).alias("Journal"))
+    rows = docs.where(even).select(F.struct(F.col("doc_id").cast("string").alias("PMID"), article.alias("Article")).alias("MedlineCitation"))
+    rows.write.format("xml").option("rowTag", "PubmedArticle").option("rootTag", "PubmedArticleSet").save(f"{path}/articles")
+    entries = docs.where(~even).select("title", F.col("body").alias("summary"), F.concat(F.lit("id-"), "doc_id").alias("id"))
+    entries.write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(f"{path}/entries")
+    return papers.union(io.paper_articles(spark, f"{path}/articles", "skin"), io.paper_entries(spark, f"{path}/entries", "skin"))
+
+
+@query(f"WITH {V.RECORDS}, {_CONF} SELECT sensitivity, fnr, 0.9::DOUBLE AS auc FROM mt")
+def metrics_lookup(spark, d):
+    """A metrics file that lacks one field, which comes from the defaults."""
+    path = io.shared_dir(spark)
+    io.write_json(_metrics(spark, d).select("sensitivity", "fnr"), path)
+    return io.metrics(spark, path, {"sensitivity": 0.5, "fnr": 0.5, "auc": 0.9})
+
+
+_NTH = f"CASE l_partkey % 7 {' '.join(f'WHEN {i} THEN {chr(39)}{c.upper()}{chr(39)}' for i, c in enumerate(CLASSES))} END"
+_IDX = f"list_position([{', '.join(repr(c.upper()) for c in CLASSES)}], label) - 1"
+
+
+@query(rec(f"""SELECT image_id, image_path, label, CAST({_IDX} AS INTEGER) AS label_idx, patient_id, dataset, source, age, sex, site, priority FROM (
+SELECT image_id, concat(image_id, '.jpg') AS image_path, {_NTH} AS label, CASE WHEN l_linenumber < 5 AND l_partkey % 4 > 1 THEN concat('les-', l_orderkey) ELSE image_id END AS patient_id, 'D2' AS dataset, 'hot' AS source,
+CASE WHEN l_linenumber < 5 THEN CAST(l_suppkey % 90 AS DOUBLE) END AS age, CASE WHEN l_linenumber < 5 THEN sex END AS sex, CASE WHEN l_linenumber < 5 THEN l_linestatus END AS site, 0 AS priority
+FROM raw WHERE l_returnflag = 'R' AND l_suppkey % 11 > 0
+UNION ALL SELECT image_id, concat(image_id, '.jpg'), CASE l_partkey % 5 WHEN 0 THEN 'BKL' WHEN 1 THEN 'MEL' WHEN 2 THEN NULL ELSE CASE l_suppkey % 3 WHEN 0 THEN 'NV' WHEN 1 THEN 'MEL' END END,
+CASE WHEN l_linenumber % 3 > 0 THEN concat('p', l_orderkey) ELSE image_id END, 'D3', 'binary', CAST(l_suppkey % 90 AS DOUBLE), sex, l_linestatus, 1 FROM raw WHERE l_returnflag <> 'R') WHERE label IS NOT NULL"""))
+def curation_chain(spark, d):
+    """Two label sets to image records: one-hot rows with metadata of some images, and diagnoses with a target to fall back on."""
+    raw, c = V.raw_records(spark, d), F.col
+    image = c("image_id").alias("image")
+    # the fourth class comes as either of the two columns that mean it; a supplier in eleven has no class
+    columns = {"MEL": 0, "NV": 1, "BCC": 2, "AK": 3, "BKL": 4, "DF": 5, "VASC": 6, "SCC": 3}
+    side = {"AK": c("l_linenumber") % 2 == 0, "SCC": c("l_linenumber") % 2 == 1}
+    known = c("l_suppkey") % 11 > 0
+    hot = [(known & (c("l_partkey") % 7 == k) & side.get(n, F.lit(True))).cast("double").alias(n) for n, k in columns.items()]
+    rows = raw.where(c("l_returnflag") == "R")
+    lesion = F.when(c("l_partkey") % 4 > 1, F.concat(F.lit("les-"), "l_orderkey")).when(c("l_partkey") % 4 == 1, "").alias("lesion_id")
+    age = (c("l_suppkey") % 90).cast("double").alias("age_approx")
+    meta = rows.where(c("l_linenumber") < 5).select(image, lesion, age, "sex", c("l_linestatus").alias("anatom_site_general"))
+    one = curate.normalise_onehot(rows.select(image, *hot, (~known).cast("double").alias("UNK")), config.ONEHOT_8, "D2", "hot", _UPPER, meta)
+    diagnosis = F.get(F.array(*(F.lit(x) for x in ("Seborrheic Keratosis", "melanoma", "Unknown", None, "odd thing"))), (c("l_partkey") % 5).cast("int"))
+    binary = raw.where(c("l_returnflag") != "R").select(
+        c("image_id").alias("image_name"), F.when(c("l_linenumber") % 3 > 0, F.concat(F.lit("p"), "l_orderkey")).alias("patient_id"), diagnosis.alias("diagnosis"),
+        F.when(c("l_suppkey") % 3 < 2, c("l_suppkey") % 3).cast("int").alias("target"), age, "sex", c("l_linestatus").alias("anatom_site_general_challenge"),
+    )
+    return curate.merge([one, curate.normalise_binary(binary, config.DIAGNOSES, "D3", "binary", _UPPER)])
+
+
+@query("""WITH img AS (SELECT concat('/in/', CASE WHEN p_partkey % 2 = 0 THEN 'img_' WHEN p_partkey % 3 = 0 THEN 'Only ' ELSE 'Img ' END, p_partkey // 2, '.png') AS path, p_partkey % 150 AS content,
+CASE WHEN p_partkey % 17 = 0 THEN -1 ELSE 20 + p_size END AS height, greatest(p_partkey % 256, p_partkey * 7 % 256, p_partkey * 13 % 256) AS hi, least(p_partkey % 256, p_partkey * 7 % 256, p_partkey * 13 % 256) AS lo FROM part),
+f AS (SELECT content, min(path) AS first FROM img WHERE height >= 0 GROUP BY content),
+r AS (SELECT img.*, CASE WHEN height >= 0 AND first <> path THEN first END AS dup, CASE WHEN lower(replace(path, ' ', '_')) <> path AND lower(replace(path, ' ', '_')) NOT IN (SELECT path FROM img) THEN lower(replace(path, ' ', '_')) END AS rename_to,
+CASE WHEN hi > 0 THEN (hi - lo) / CAST(hi AS DOUBLE) * 255 ELSE 0 END AS sat FROM img LEFT JOIN f USING (content)),
+i AS (SELECT *, CASE WHEN height < 0 THEN 'corrupt' ELSE concat_ws(';', CASE WHEN least(height, 40) < 32 THEN 'too_small' END, CASE WHEN dup IS NOT NULL THEN concat('duplicate_of:', dup) END, CASE WHEN sat < 10 THEN 'ood:near_grayscale' END,
+CASE WHEN hi < 20 THEN 'ood:near_black' END, CASE WHEN hi > 250 THEN 'ood:near_white' END, CASE WHEN rename_to IS NOT NULL THEN 'renamed' END) END AS issues FROM r)
+SELECT path, CAST(height AS INTEGER) AS height, 40 AS width, issues, CASE WHEN issues = '' THEN 'clean' WHEN height < 0 THEN 'remove' WHEN dup IS NOT NULL THEN 'remove_duplicate' ELSE 'flag' END AS action, rename_to FROM i""")
+def ingest_scan(spark, d):
+    """Parts as images of one colour each, 40 wide, some of them corrupt, repeated or with names to clean."""
+    p = F.col("p_partkey")
+    name = F.concat(F.when(p % 2 == 0, "img_").when(p % 3 == 0, "Only ").otherwise("Img "), F.floor(p / 2).cast("string"), F.lit(".png"))
+    good, height = p % 17 != 0, F.col("p_size").cast("int") + 20
+    pixel = F.concat(*(F.lpad(F.hex(p * k % 256), 2, "0") for k in (1, 7, 13)))
+    rows = V.table(spark, d, "part").withColumn("path", F.concat(F.lit("/in/"), name))
+    files = rows.select("path", (p % 150).cast("string").cast("binary").alias("content"))
+    images = rows.select("path", F.when(good, height).otherwise(-1).alias("height"), F.lit(40).alias("width"), F.lit(3).alias("channels"), F.when(good, F.unhex(F.repeat(pixel, height * 40))).alias("data"))
+    return ingest_qc.scan(files, images).withColumn("issues", F.concat_ws(";", "issues"))
 
 
 @query("SELECT doc_id, concat('doc-', doc_id, '/', lang) AS patient_id, CASE WHEN doc_id % 4 = 0 THEN concat('img-', doc_id) ELSE concat('les-', doc_id // 3) END AS lesion FROM documents WHERE lang IS NOT NULL")
@@ -899,3 +1032,27 @@ def stream_rolling_flagged(spark, d):
 @query(scan_sql("SELECT count(*) AS total, count(*) FILTER (verdict = 'CANCER_FLAGGED') AS flagged, count(*) FILTER (verdict = 'REVIEW_REQUIRED') AS review, count(*) FILTER (verdict = 'NORMAL') AS normal FROM scans"))
 def stream_scan_stats(spark, d):
     return _counted(questions.scan_stats(V.scans(spark, d, _stream(spark, d, "events"))))
+
+
+@query(rec("SELECT CAST(floor(epoch(ts) / 604800) * 7 AS BIGINT) AS window_day, count(*) AS n_images FROM records GROUP BY window_day"))
+def stream_weekly_drift(spark, d):
+    """The weekly job: the drift monitor over event-time weeks."""
+    out = _counted(streams.daily_drift(V.records(spark, d, lineitem=_stream(spark, d, "lineitem")), every="7 days"))
+    return out.select(F.unix_date(F.to_date("window_start")).cast("long").alias("window_day"), "n_images")
+
+
+@query(drift_sql("SELECT concat('drift-', batch_id) AS id, concat('Drift ', severity) AS title, severity, false AS \"read\" FROM rep WHERE severity <> 'OK'"))
+def stream_alerts(spark, d):
+    """Drift reports dropped into a folder, and the alerts of those that are not OK as they come."""
+    path = io.shared_dir(spark)
+    reports = drift.report(V.records(spark, d), ["batch_id"]).select("batch_id", "severity", "flags")
+    reports.write.json(path)
+    return _written(streams.alerts_of(streams.drops(spark, path, reports.schema)).drop("body"))
+
+
+@query(scan_sql("SELECT count(*) AS total, count(*) FILTER (verdict = 'CANCER_FLAGGED') AS flagged, count(*) FILTER (verdict = 'REVIEW_REQUIRED') AS review, count(*) FILTER (verdict = 'NORMAL') AS normal FROM scans"))
+def stream_dashboard(spark, d):
+    """The dashboard's memory table after one turn over what is there."""
+    name = "predlens_" + uuid.uuid4().hex
+    _finished(streams.dashboard(V.scans(spark, d, _stream(spark, d, "events")), name, every=None))
+    return spark.table(name)
