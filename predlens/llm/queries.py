@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, language_id, license_scan, line_dedup, media, mixing, near_dedup, token_counts, topk, toxicity
+from . import bpe_codec, collocations, language_id, license_scan, line_dedup, media, mixing, near_dedup, token_counts, topk, toxicity
 from .common import table
 
 
@@ -52,7 +52,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_topk_search, op4_mixing, op5_toxicity, op6_token_counts, op7_bpe_codec, op8_license_scan, op9_near_dedup, op10_media_columns)
+    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_topk_search, op4_mixing, op5_toxicity, op6_token_counts, op7_bpe_codec, op8_license_scan, op9_near_dedup, op10_media_columns, op11_collocations)
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_topk_search": topk.ORACLE, "op4_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_topk_search": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op11_collocations": collocations.ORACLE}
