@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, collocations, language_id, license_scan, line_dedup, media, mixing, near_dedup, token_counts, topk, toxicity
+from . import bpe_codec, collocations, embedding_dedup, hard_negatives, language_id, license_scan, line_dedup, media, mixing, near_dedup, token_counts, topk, toxicity
 from .common import table
 
 
@@ -56,7 +56,20 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_topk_search, op4_mixing, op5_toxicity, op6_token_counts, op7_bpe_codec, op8_license_scan, op9_near_dedup, op10_media_columns, op11_collocations)
+    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_topk_search, op4_mixing, op5_toxicity, op6_token_counts, op7_bpe_codec, op8_license_scan, op9_near_dedup, op10_media_columns, op11_collocations, op12_embedding_dedup, op13_hard_negatives)
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op3_topk_search": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op11_collocations": collocations.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE, "op3_topk_search": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op11_collocations": collocations.ORACLE,
+    "op12_embedding_dedup": embedding_dedup.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE,
+}
