@@ -10,12 +10,14 @@
    frequent phrase has been counted, over all documents.
 
 The proposal is known to tasks as a Bloom filter of bounded size. A false positive only means that a phrase is taken as proposed,
-with all that follows from it, so the counts stay exact at any size of the filter. Phrases are counted by two 64-bit hashes that hold
-their language; a last pass finds the words of the frequent ones.
+with all that follows from it, so the result does not depend on the filter. Passes count 64-bit hashes, which bounds the counts of
+phrases from above. A last pass looks at the same places, and names the phrases whose hash is frequent, by a second hash too. Where
+two phrases share the first one, those are counted once more by both.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,10 +43,11 @@ _BREAK = b"\xff"  # stands in no UTF-8 text
 #: A-Z to lower case, ends of pieces to _BREAK, tabs to blanks.
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + _BREAK * 10 + b" ")
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_digest = xxhash.xxh3_128_digest
 
 
 class Bloom:
-    """A blocked Bloom filter over pairs of 64-bit hashes; bits of no phrase are not stored."""
+    """A blocked Bloom filter over 64-bit hashes: the upper bits tell the block, the others the bits within it."""
 
     def __init__(self, blocks: int, rows: list[tuple[int, bytes]]):
         self.bits = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
@@ -52,19 +55,18 @@ class Bloom:
             self.bits[block] = np.frombuffer(bits, np.uint8)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        """h: two rows of hashes."""
-        block, out = (h[0] >> np.uint64(20)) % np.uint64(len(self.bits)), np.ones(h.shape[1], bool)
+        block, out = (h >> np.uint64(48)) % np.uint64(len(self.bits)), np.ones(len(h), bool)
         for i in range(SET_BITS):
-            at = (h[1] >> np.uint64(16 * i)) % np.uint64(BLOCK_BITS)
+            at = (h >> np.uint64(16 * i)) % np.uint64(8 * self.bits.shape[1])
             out &= (self.bits[block, at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return out
 
 
-def bloom_of(phrases: DataFrame) -> Bloom:
-    """The filter of phrases (h1, h2): blocks are made by tasks; the driver gets at most MOST_BLOCKS of 8 KB."""
-    blocks = int(min(MOST_BLOCKS, max(1, phrases.count() * BITS_A_PHRASE // BLOCK_BITS + 1)))
-    places = F.array(*(F.shiftrightunsigned("h2", 16 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for i in range(SET_BITS)))
-    dealt = phrases.select((F.shiftrightunsigned("h1", 20) % blocks).cast("int").alias("block"), F.explode(places).alias("at"))
+def bloom_of(hashes: DataFrame) -> Bloom:
+    """The filter of the hashes h: blocks are made by tasks; the driver gets at most MOST_BLOCKS of 8 KB."""
+    blocks = int(min(MOST_BLOCKS, max(1, hashes.count() * BITS_A_PHRASE // BLOCK_BITS + 1)))
+    places = F.array(*(F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for i in range(SET_BITS)))
+    dealt = hashes.select((F.shiftrightunsigned("h", 48) % blocks).cast("int").alias("block"), F.explode(places).alias("at"))
     each = dealt.groupBy("block").agg(F.collect_set("at").alias("at"))  # at most BLOCK_BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,103 +100,121 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
 
 
 class Words:
-    """The words of a chunk: distinct ones, the code of each place (-1 where a piece ends) and two hashes of each place's word."""
+    """The words of a chunk: distinct ones, the code of each place, whether it is a word or ends a piece, and hashes of each place's word."""
 
-    def __init__(self, lang: str, text: bytes):
+    def __init__(self, lang: str, text: bytes, bits: int = 64):
         # no white space is left but blanks, so split() cuts words as the definition does
         places = np.array(text.replace(_BREAK, b" \xff ").split() or [_BREAK], object)
-        code, self.names = pd.factorize(places)
+        self.code, self.names = pd.factorize(places)
         seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
-        digests = b"".join(xxhash.xxh3_128_digest(w, seed) for w in self.names)
-        self.hash = np.frombuffer(digests, "<u8").reshape(-1, 2).T.copy()
-        self.code = code
-        self.word = np.asarray(self.names != _BREAK)[code]
-        self.each = np.ascontiguousarray(self.hash[:, code])
-
-    def phrases(self, proposed: Bloom | None, earlier: list[Bloom], closed_to: int = LONGEST, longest: int = LONGEST):
-        """(k, places, hashes, known) for each length: places whose phrase is proposed or in the negative border and was not so for
-        an earlier filter; known: it is proposed. Beyond closed_to all phrases of the border count as proposed, and if there are
-        earlier filters, those do that were not counted with them."""
+        self.hash = np.frombuffer(b"".join(map(_digest, self.names, itertools.repeat(seed))), "<u8").reshape(-1, 2)
+        self.word = np.asarray(self.names != _BREAK)[self.code]
+        self.mask = np.uint64(2**bits - 1)
+        self.first = (self.hash[:, 0] & self.mask)[self.code]
+
+    def second(self, at: np.ndarray, k: int) -> np.ndarray:
+        """The second hash of the phrases of k words at these places."""
+        each, out = self.hash[:, 1], np.zeros(len(at), np.uint64)
+        for i in range(k):
+            out = out * _STEP[1] + each[self.code[at + i]]
+        return out
+
+    def phrases(self, filters: list[Bloom], closed_to: int = LONGEST, longest: int = LONGEST):
+        """(k, places, first hashes, known, new) for each length, of the places whose phrase a filter proposes or has in its negative border.
+
+        known: the last filter proposes it. new: it is in reach of the last filter, and was not of an earlier one. With earlier
+        filters what is new counts as proposed; beyond closed_to all in the border does.
+        """
         at, h = np.flatnonzero(self.word), None
-        into = [np.zeros(len(self.code) + 1, bool) for _ in range(1 + len(earlier))]  # is the phrase of the last length proposed?
+        proposed = [np.zeros(len(self.code) + 1, bool) for _ in filters]  # the phrases of the last length, by their first place
         for k in range(1, longest + 1):
             if k == 1:
-                h = self.each[:, at]
-                new = np.full(len(at), not earlier)
+                h, reach = self.first[at], [np.ones(len(at), bool) for _ in filters] or [np.ones(len(at), bool)]
             else:
-                keep = into[0][at] & into[0][at + 1]
-                at, h = at[keep], h[:, keep]
-                h = h * _STEP[:, None] + self.each[:, at + k - 1]
-                new = np.ones(len(at), bool)
-                for old in into[1:]:
-                    new &= ~(old[at] & old[at + 1])
-            known = np.ones(len(at), bool) if proposed is None or k > closed_to else proposed.has(h)
-            if earlier:
-                known |= new
-            yield k, at[new], h[:, new], known[new]
-            for mask, was in zip(into, [known, *(b.has(h) for b in earlier)], strict=True):
-                now = np.zeros_like(mask)
-                now[at] = was
-                mask[:] = now
-
-
-def counted(docs: DataFrame, proposed: Bloom | None, earlier: list[Bloom], least: int = 1, longest: int = LONGEST, closed_to: int = LONGEST) -> DataFrame:
-    """h1, h2, known, n of phrases of least to longest words in docs (lang, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast((proposed, earlier))
+                reach = [p[at] & p[at + 1] for p in proposed]
+                keep = np.logical_or.reduce(reach)
+                at, h, reach = at[keep], h[keep], [r[keep] for r in reach]
+                h = (h * _STEP[0] + self.first[at + k - 1]) & self.mask
+            new = reach[-1].copy()
+            for r in reach[:-1]:
+                new &= ~r
+            known = [r if k > closed_to else r & f.has(h) for r, f in zip(reach, filters, strict=False)]
+            yield k, at, h, known[-1] if known else new, new
+            for i, now in enumerate(known):
+                proposed[i][:] = False
+                proposed[i][at] = now | new if i and i == len(known) - 1 else now
+
+
+def counted(docs: DataFrame, filters: list[Bloom], least: int = 1, longest: int = LONGEST, closed_to: int = LONGEST, bits: int = 64) -> DataFrame:
+    """h, n for the phrases of least to longest words that are new with the last filter; n is below zero for those that it proposes."""
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, old = sent.value
         for lang, text in chunks(batches):
-            for k, _, h, known in Words(lang, text).phrases(now, old, closed_to, longest):
-                if k < least or not h.shape[1]:
+            for k, _, h, known, new in Words(lang, text, bits).phrases(sent.value, closed_to, longest):
+                if k < least or not new.any():
                     continue
-                order = np.argsort(h[0])
-                h, known = h[:, order], known[order]
-                first = np.flatnonzero(np.r_[True, (h[:, 1:] != h[:, :-1]).any(axis=0)])
-                n = np.diff(np.r_[first, h.shape[1]])
-                yield pa.RecordBatch.from_arrays([pa.array(h[0][first].view(np.int64)), pa.array(h[1][first].view(np.int64)), pa.array(known[first]), pa.array(n)], ["h1", "h2", "known", "n"])
+                h, first, n = np.unique(h[new], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.where(known[new][first], -n, n))], ["h", "n"])
 
-    each = docs.mapInArrow(run, "h1 long, h2 long, known boolean, n long")
-    return each.groupBy("h1", "h2").agg(F.max("known").alias("known"), F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def named(docs: DataFrame, frequent: DataFrame, known: Bloom) -> DataFrame:
-    """lang, k, phrase, f, and words (of the language) for the frequent phrases (h1, h2, f); k = 0 for a language's number of words.
+def named(docs: DataFrame, filters: list[Bloom], frequent: Bloom, bits: int = 64) -> DataFrame:
+    """h, g, k, phrase, words, lang: the phrases at the places that were counted whose hash is frequent; k = 0 for a number of words.
 
-    A task names a phrase when it meets it first, so rows are about the frequent phrases of each task.
+    A task names a phrase when it meets it first, so rows are at most the phrases of each task.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent = docs.sparkSession.sparkContext.broadcast((filters, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, seen = sent.value, np.zeros(0, np.uint64)
+        (before, wanted), seen = sent.value, set()
         for lang, text in chunks(batches):
-            words = Words(lang, text)
-            rows: list[tuple] = [(0, 0, 0, "", int(words.word.sum()))]
-            for k, at, h, has in words.phrases(bloom, []):
-                at, h = at[has], h[:, has]
-                _, first = np.unique(h[0], return_index=True)
-                first = first[~np.isin(h[0][first], seen)]
-                seen = np.union1d(seen, h[0][first])
-                for i in first.tolist():
-                    phrase = b" ".join(words.names[c] for c in words.code[at[i] : at[i] + k])
-                    rows.append((int(h[0, i].view(np.int64)), int(h[1, i].view(np.int64)), k, phrase.decode("utf-8", "surrogatepass"), 0))
+            words = Words(lang, text, bits)
+            columns: list[list] = [[0], [0], [0], [""], [int(words.word.sum())]]
+            for k, at, h, _, _ in words.phrases(before):
+                has = wanted.has(h)
+                at, h = at[has], h[has]
+                g = words.second(at, k)
+                order = np.lexsort((g, h))
+                at, h, g = at[order], h[order], g[order]
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) if len(h) else order
+                keys = list(zip(h[first].view(np.int64).tolist(), g[first].view(np.int64).tolist(), strict=True))
+                keep = [i for i, key in enumerate(keys) if key not in seen]
+                seen.update(keys[i] for i in keep)
+                codes = words.code[at[first[keep]][:, None] + np.arange(k)] if keep else np.zeros((0, k), int)
+                columns[0] += [keys[i][0] for i in keep]
+                columns[1] += [keys[i][1] for i in keep]
+                columns[2] += [k] * len(keep)
+                columns[3] += [b" ".join(row).decode("utf-8", "surrogatepass") for row in words.names[codes].tolist()]
+                columns[4] += [0] * len(keep)
             if len(seen) > NAMED:
-                seen = np.zeros(0, np.uint64)
-            columns = list(zip(*rows, strict=True))
+                seen = set()
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([lang] * len(rows), pa.string())], ["h1", "h2", "k", "phrase", "words", "lang"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([lang] * len(columns[0]), pa.string())], ["h", "g", "k", "phrase", "words", "lang"])
+
+    return docs.mapInArrow(run, "h long, g long, k int, phrase string, words long, lang string")
 
-    found, path = save(docs.mapInArrow(run, "h1 long, h2 long, k int, phrase string, words long, lang string"))
-    totals = found.where("k = 0").groupBy("lang").agg(F.sum("words").alias("n"))
-    phrases = found.where("k > 0").join(frequent, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("lang").alias("lang"), F.min("k").alias("k"), F.min("phrase").alias("phrase"), F.min("f").alias("f"))
-    out, _ = save(phrases.join(totals, "lang").select("lang", "k", "phrase", "f", "n"))
-    discard(docs.sparkSession, path)
-    return out
 
+def counted_by_both(docs: DataFrame, filters: list[Bloom], shared: Bloom, bits: int = 64) -> DataFrame:
+    """h, g, f: exact counts of the phrases at the places that were counted whose first hash is in shared."""
+    sent = docs.sparkSession.sparkContext.broadcast((filters, shared))
 
-def frequent_phrases(docs: DataFrame, least: int = 100, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> tuple[DataFrame, dict]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, wanted = sent.value
+        for lang, text in chunks(batches):
+            words = Words(lang, text, bits)
+            for k, at, h, _, _ in words.phrases(before):
+                has = wanted.has(h)
+                if has.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(h[has].view(np.int64)), pa.array(words.second(at[has], k).view(np.int64))], ["h", "g"])
+
+    return docs.mapInArrow(run, "h long, g long").groupBy("h", "g").agg(F.count(F.lit(1)).alias("f"))
+
+
+def frequent_phrases(docs: DataFrame, least: int = 100, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", bits: int = 64) -> tuple[DataFrame, dict]:
     """lang, k, phrase, f, n (words of the language) of all phrases of up to LONGEST words that occur at least so often; and what
-    was done: phrases proposed, passes over all documents, border failures of each."""
+    was done: hashes proposed, border failures of each pass, first hashes that phrases share. bits: of the first hash, fewer in tests."""
     spark = docs.sparkSession
     texts = docs.where(F.col(text).isNotNull())
     columns = [F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")]
@@ -202,30 +222,39 @@ def frequent_phrases(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
     enough = max(1, int(LOWERED * least / SAMPLE))
     paths: list[str] = []
 
-    def kept(df: DataFrame, limit: int) -> DataFrame:
-        out, path = save(df.where(F.col("n") >= limit))
+    def kept(df: DataFrame) -> DataFrame:
+        out, path = save(df)
         paths.append(path)
         return out
 
-    proposal, bloom = None, None
+    proposal = None
     for low, high, closed_to in ((1, 1, 0), (2, 2, 1), (3, LONGEST, 2)):  # words, pairs, and longer ones that hold only such pairs
-        if high > 1:
-            bloom = bloom_of(proposal)
-        found = kept(counted(part, bloom, [], low, high, closed_to), enough).select("h1", "h2")
+        filters = [bloom_of(proposal)] if high > 1 else []
+        found = kept(counted(part, filters, low, high, closed_to, bits).where(F.abs("n") >= enough).select("h"))
         proposal = found if proposal is None else proposal.unionByName(found)
     done = {"proposed": proposal.count(), "failures": []}
     filters, frequent = [], None
     while True:
         filters.append(bloom_of(proposal))
-        found = kept(counted(rows, filters[-1], filters[:-1], 1 if frequent is None else 2), least)
+        again = frequent is not None
+        found = kept(counted(rows, filters, 2 if again else 1, bits=bits).where(F.abs("n") >= least))
+        # after a failure all that is new counts as proposed, so nothing new can fail
+        failed = found.where("n > 0").select("h") if not again else found.limit(0).select("h")
         frequent = found if frequent is None else frequent.unionByName(found)
-        failed = found.where(~F.col("known")).select("h1", "h2")
         done["failures"].append(failed.count())
         if not done["failures"][-1]:
             break
         proposal = proposal.unionByName(failed)
-    # frequent phrases alone need no more than their own filter; all their parts are frequent
-    out = named(rows, frequent.select("h1", "h2", F.col("n").alias("f")), bloom_of(frequent))
+    names = kept(named(rows, filters, bloom_of(frequent.select("h")), bits))
+    phrases = names.where("k > 0").groupBy("h", "g").agg(F.min("lang").alias("lang"), F.min("k").alias("k"), F.min("phrase").alias("phrase"))
+    phrases = kept(phrases.join(frequent.groupBy("h").agg(F.max(F.abs("n")).alias("f")), "h"))
+    shared = phrases.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
+    done["shared"] = shared.count()
+    if done["shared"]:
+        exact = counted_by_both(rows, filters, bloom_of(shared), bits).join(shared, "h").withColumnRenamed("f", "exact")
+        phrases = phrases.join(exact, ["h", "g"], "left").withColumn("f", F.coalesce("exact", "f")).where(F.col("f") >= least)
+    totals = names.where("k = 0").groupBy("lang").agg(F.sum("words").alias("n"))
+    out, _ = save(phrases.join(totals, "lang").select("lang", "k", "phrase", "f", "n"))
     for path in paths:
         discard(spark, path)
     return out, done
