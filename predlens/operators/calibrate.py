@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +39,32 @@ def report(records: DataFrame, by: list[str] | None = None, temperature: float |
 
     Bins are summed first, so the second aggregate sees eleven rows of a group.
     """
-    by, t = by or [], cfg.temperature if temperature is None else temperature
+    by = by or []
     rows = evaluable(records).withColumn("bin", bin_of(F.col("conf"), include_one))
     sums = rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("conf").alias("c"), F.sum("acc").alias("a"))
     gap = F.when(F.col("bin").isNotNull(), F.abs(F.col("a") - F.col("c")))
-    total = sums.groupBy(*by).agg(F.sum("n").alias("n_eval"), (F.coalesce(F.sum(gap), F.lit(0.0)) / F.sum("n")).alias("_ece"), (F.sum("c") / F.sum("n")).alias("_conf"), (F.sum("a") / F.sum("n")).alias("_acc"))
+    total = sums.groupBy(*by).agg(F.sum("n").alias("n_eval"), F.coalesce(F.sum(gap), F.lit(0.0)).alias("_gap"), F.sum("c").alias("_c"), F.sum("a").alias("_a"))
+    return _judged(total, by, temperature, cfg)
+
+
+def report_once(records: DataFrame, by: list[str], temperature: float | None = None, cfg: Config = DEFAULT, include_one: bool = False, digits: int = 4) -> DataFrame:
+    """The rows of report by one aggregate, whose buffer holds the sums of all bins: for streams, which keep one state a group. digits: of
+    its shares."""
+    rows = evaluable(records).withColumn("bin", bin_of(F.col("conf"), include_one))
+    surplus = [F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("acc") - F.col("conf"))), F.lit(0.0)).alias(f"_b{i}") for i in range(len(EDGES) - 1)]
+    total = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_eval"), *surplus, F.sum("conf").alias("_c"), F.sum("acc").alias("_a"))
+    return _judged(total.withColumn("_gap", reduce(lambda x, y: x + y, (F.abs(f"_b{i}") for i in range(len(EDGES) - 1)))), by, temperature, cfg, digits)
+
+
+def _judged(total: DataFrame, by: list[str], temperature: float | None, cfg: Config, digits: int = 4) -> DataFrame:
+    """The report of n_eval, the summed gaps of the bins, and sums of confidence and accuracy."""
+    t = cfg.temperature if temperature is None else temperature
+    total = total.withColumns({"_ece": F.col("_gap") / F.col("n_eval"), "_conf": F.col("_c") / F.col("n_eval"), "_acc": F.col("_a") / F.col("n_eval")})
     over, enough = F.col("_conf") - F.col("_acc"), F.col("n_eval") >= 10
     value = lambda c: F.when(enough, c)
     new_t = F.when(over > cfg.over_step, F.round(F.lit(t * 1.1), 4)).when(over < -cfg.over_step, F.round(F.lit(t * 0.9), 4)).otherwise(F.lit(t))
     return total.select(
-        *by, "n_eval", value(F.round("_ece", 4)).alias("ece"), value(F.round("_conf", 4)).alias("mean_conf"), value(F.round("_acc", 4)).alias("mean_acc"), value(F.round(over, 4)).alias("overconfidence"),
+        *by, "n_eval", value(F.round("_ece", digits)).alias("ece"), value(F.round("_conf", digits)).alias("mean_conf"), value(F.round("_acc", digits)).alias("mean_acc"), value(F.round(over, digits)).alias("overconfidence"),
         value((F.col("_ece") > cfg.ece_limit) | (F.abs(over) > cfg.over_limit)).alias("needs_recal"), F.lit(t).alias("current_t"), value(new_t).alias("recommended_t"),
         value(F.when(over > cfg.over_step, "increase temperature").when(over < -cfg.over_step, "decrease temperature").otherwise("no recalibration needed")).alias("recommendation"),
         F.when(enough, "ok").otherwise("insufficient_data").alias("status"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,8 +117,18 @@ def distribution(df: DataFrame, label: str = "label", split: str | None = None)
     """Rows of each label and, with a split, of each split; null in split: all."""
     if split is None:
         return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    cells = df.groupBy(label, split).agg(F.count(F.lit(1)).alias("n"))
-    return cells.unionByName(cells.groupBy(label).agg(F.sum("n").alias("n")).withColumn(split, F.lit(None).cast("string")))
+    return df.groupingSets([[F.col(label), F.col(split)], [F.col(label)]], label, split).agg(F.count(F.lit(1)).alias("n"))
+
+
+def distributions(df: DataFrame, axes: list[str], sets: list[list[str]] | None = None, **measures: Column) -> DataFrame:
+    """axes, level, n and measures over several groupings in one aggregate: each of the sets, or all subsets of the axes.
+
+    level tells the grouping: the sum of 2**i for each axis i, counted from the last, that is summed over; so a null value of an axis
+    is told from "all".
+    """
+    every = [[c for i, c in enumerate(axes) if not m >> (len(axes) - 1 - i) & 1] for m in range(2 ** len(axes))]
+    grouped = df.groupingSets([[F.col(c) for c in s] for s in (every if sets is None else sets)], *axes)
+    return grouped.agg(F.grouping_id(*axes).alias("level"), F.count(F.lit(1)).alias("n"), *(m.alias(k) for k, m in measures.items())).select(*axes, "level", "n", *measures)
 
 
 def zero_filled(df: DataFrame, by: list[str], label: str, classes) -> DataFrame:

@@ -31,6 +31,11 @@ def report(records: DataFrame, by: list[str], cfg: Config = DEFAULT) -> DataFram
         n.alias("n_images"), *counts, F.coalesce(F.avg(conf), F.lit(0.0)).alias("_mean"), F.coalesce(F.stddev_pop(conf), F.lit(0.0)).alias("_std"),
         (F.count_if(conf < cfg.floor) / F.greatest(F.count(conf), F.lit(1))).alias("_low"),
     )
+    return judged(stats, by, cfg)
+
+
+def judged(stats: DataFrame, by: list[str], cfg: Config = DEFAULT) -> DataFrame:
+    """The report from n_images, counts of the classes, and mean, deviation and share of low values of the confidence."""
     share = {c: F.col(f"_{c}") / F.col("n_images") for c in cfg.classes}
     terms = [F.when(share[c] > 0, share[c] * F.log(share[c] / F.lit(max(cfg.train_shares.get(c, EPS), EPS)))).otherwise(0.0) for c in cfg.classes]
     mean, std = cfg.train_confidence

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import DEFAULT, Config
 from ..functions import columns as C
+from ..sources.io import shared_dir
 
 
 @F.pandas_udf(StructType([StructField("saturation", DoubleType()), StructField("brightness", DoubleType())]))
@@ -80,11 +81,22 @@ def report(checked: DataFrame) -> DataFrame:
     })
 
 
-def scan(files: DataFrame, images: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """All checks of image files in one plan: path, issues, action, rename_to. files as of io.image_files, images as decoded."""
+def facts(files: DataFrame, images: DataFrame) -> DataFrame:
+    """path, md5, height, width, saturation and brightness of each file: all that the checks need of its bytes and pixels. A file that can't
+    be decoded has no md5."""
     seen = images.withColumn("_m", pixel_means("data", "channels")).select("path", "height", "width", "_m.saturation", "_m.brightness")
     rows = files.select("path", F.md5("content").alias("md5")).join(seen, "path", "left")
-    rows = rows.withColumn("md5", F.when(F.col("height") >= 0, F.col("md5")))
+    return rows.withColumn("md5", F.when(F.col("height") >= 0, F.col("md5")))
+
+
+def scan(files: DataFrame, images: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """All checks of image files: path, issues, action, rename_to. files as of io.image_files, images as decoded.
+
+    Bytes and pixels are read once, for a narrow table of facts in the shared folder; looking for copies and free names reads that.
+    """
+    rows, path = facts(files, images), shared_dir(files.sparkSession)
+    rows.write.parquet(path)
+    rows = files.sparkSession.read.schema(rows.schema).parquet(path)
     return issues(rename_plan(duplicates(rows)), cfg).select("path", "height", "width", "issues", "action", "rename_to")
 
 

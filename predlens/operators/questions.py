@@ -110,6 +110,15 @@ def research_report(metrics: DataFrame, groups: DataFrame, drift: DataFrame) ->
     return {"per_class": class_auc_table(metrics), "by_sex": groups.where(F.col("axis") == "sex"), "drift": drift}
 
 
+def report_rows(metrics: DataFrame, groups: DataFrame, drift: DataFrame) -> DataFrame:
+    """The research report as one table: section, item, value and note. Class AUCs, then those by sex, then the newest drift report."""
+    parts = research_report(metrics, groups, drift)
+    per_class = parts["per_class"].select(F.lit("per_class").alias("section"), F.col("pred_class").alias("item"), F.col("auc").alias("value"), F.col("full_name").alias("note"))
+    by_sex = parts["by_sex"].select(F.lit("by_sex"), "group", "auc", F.concat(F.lit("n = "), F.col("n").cast("string")))
+    newest = parts["drift"].select(F.lit("drift"), "severity", "kl_divergence", F.array_join("flags", "; "))
+    return per_class.union(by_sex).union(newest)
+
+
 def key_findings(flag_totals: DataFrame, drift: DataFrame, calibration: DataFrame, queue_summary: DataFrame) -> DataFrame:
     """One row from one-row reports."""
     parts = (flag_totals.select(F.col("annotation_conflict").alias("conflicts"), "ambiguous", "low_confidence"), drift.select("severity"), calibration.select("recommendation"), queue_summary.select("est_auc_gain"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -79,12 +79,20 @@ def within_size(files: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, Dat
 def score_batch(df: DataFrame, make_predict_fn, inputs: list[str], batch_size: int = 64, cfg: Config = DEFAULT, shapes: list[list[int] | None] | None = None) -> DataFrame:
     """Logits by a model of the caller's, in Arrow batches; make_predict_fn loads it once in a worker, shapes are those of array inputs.
 
-    A row with a null input, or whose logits are missing or not finite, becomes an error row and the batch goes on.
+    A row with a null input, or whose logits are missing or not finite, becomes an error row and the batch goes on. The input is read
+    once: in place of a null the model gets zeros of the shape, and what it makes of them is dropped.
     """
     run = predict_batch_udf(make_predict_fn, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=shapes)
-    ready = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in inputs))
-    missing = df.where(" OR ".join(f"`{c}` IS NULL" for c in inputs)).withColumn("logits", F.lit(None).cast("array<double>"))
-    out = ready.withColumn("logits", run(*inputs)).unionByName(missing)
+
+    def filled(c: str, shape: list[int] | None) -> Column:
+        kind = df.schema[c].dataType
+        if isinstance(kind, ArrayType):
+            return F.coalesce(F.col(c), F.array_repeat(F.lit(0).cast(kind.elementType), reduce(lambda a, b: a * b, shape or [1])))
+        return F.coalesce(F.col(c), F.lit("").cast(kind) if kind.typeName() in ("string", "binary") else F.lit(0).cast(kind))
+
+    there = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in inputs))
+    out = df.withColumn("logits", run(*(filled(c, s) for c, s in zip(inputs, shapes or [None] * len(inputs), strict=True))))
+    out = out.withColumn("logits", F.when(there, F.col("logits")))
     good = (F.size("logits") == len(cfg.classes)) & ~F.exists("logits", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     out = out.withColumn("error", F.when(~F.coalesce(good, F.lit(False)), "no prediction"))
     return out.withColumn("logits", F.when(F.col("error").isNull(), F.col("logits")))

@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import DEFAULT, Config
 from ..operators import active, calibrate, drift, fairness, hypothesis, ingest_qc, papers, qa
-from ..sources.io import append_run, exists, run_log, shared_dir
+from ..sources.io import append_run, claim, exists, run_log, shared_dir
 
 Stage = Callable[[dict[str, DataFrame]], DataFrame]
 
 
 def next_run(spark: SparkSession, name: str, log: str) -> int:
-    """Number of an agent's next run, by its lines in the run log."""
-    return run_log(spark, log).where(F.col("agent") == name).count() + 1 if exists(spark, log) else 1
+    """Number of an agent's next run, by its lines in the run log; claimed by an empty file beside the log, which only one of two runs at
+    once can make, so the other takes the next number."""
+    n = run_log(spark, log).where(F.col("agent") == name).count() + 1 if exists(spark, log) else 1
+    while not claim(spark, f"{log.rstrip('/')}-runs/{name}/{n}"):
+        n += 1
+    return n
 
 
 def run_stage(spark: SparkSession, name: str, stage: Stage, tables: dict[str, DataFrame], log: str | None = None) -> DataFrame | None:

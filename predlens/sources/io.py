@@ -41,6 +41,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file; False if it is there already. One step of the file system, so of several callers one gets True."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(p)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no pending plan reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def optional_csv(spark: SparkSession, path: str | None, schema: str) -> DataFrame | None:
     return spark.read.schema(schema).csv(path, header=True) if path and exists(spark, path) else None
 

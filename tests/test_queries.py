@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from predlens.plans import queries as own
+from predlens.plans import monitor_queries, queries as own  # noqa: F401 (registers its queries with the others)
 
 from .compare import same
 from .conftest import DATA
