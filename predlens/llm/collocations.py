@@ -11,8 +11,9 @@
 
 The proposal is known to tasks as a Bloom filter of bounded size. A false positive only means that a phrase is taken as proposed,
 with all that follows from it, so the result does not depend on the filter. Passes count 64-bit hashes, which bounds the counts of
-phrases from above. A last pass looks at the same places, and names the phrases whose hash is frequent, by a second hash too. Where
-two phrases share the first one, those are counted once more by both.
+phrases from above, and add up a part of a second hash of what is proposed, which tells whether a hash is that of one phrase alone. The
+words of most frequent phrases are found in the sample. A last pass over all documents finds those of the others, by both hashes; where
+phrases share the first one, they are counted once more by both.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ LONGEST, SAMPLE, LOWERED = 5, 8, 0.5
 BLOCK_BITS, MOST_BLOCKS, SET_BITS, BITS_A_PHRASE = 1 << 16, 1 << 12, 3, 16
 #: Bytes of text that are counted at once, and phrases that a task remembers to have named.
 CHUNK, NAMED = 4_000_000, 1_000_000
+#: Bits of the second hash that are added up; their sum is exact for up to 2**39 occurrences of a phrase.
+SUMMED = np.uint64(2**24 - 1)
 #: Salts of a ranking that would meet in one task a language.
 SALTS = 32
 
@@ -146,18 +149,27 @@ class Words:
 
 
 def counted(docs: DataFrame, filters: list[Bloom], least: int = 1, longest: int = LONGEST, closed_to: int = LONGEST, bits: int = 64) -> DataFrame:
-    """h, n for the phrases of least to longest words that are new with the last filter; n is below zero for those that it proposes."""
+    """h, n, c for the phrases of least to longest words that are new with the last filter. n is below zero for those that it proposes; c
+    is the sum of their second hashes' SUMMED bits, and 0 for others."""
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in chunks(batches):
-            for k, _, h, known, new in Words(lang, text, bits).phrases(sent.value, closed_to, longest):
+            words = Words(lang, text, bits)
+            for k, at, h, known, new in words.phrases(sent.value, closed_to, longest):
                 if k < least or not new.any():
                     continue
-                h, first, n = np.unique(h[new], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.where(known[new][first], -n, n))], ["h", "n"])
+                at, h, known = at[new], h[new], known[new]
+                order = np.argsort(h)
+                first = np.flatnonzero(np.r_[True, h[order[1:]] != h[order[:-1]]])
+                n = np.diff(np.r_[first, len(h)])
+                second = np.zeros(len(h), np.int64)
+                second[known] = (words.second(at[known], k) & SUMMED).view(np.int64)
+                c = np.add.reduceat(second[order], first)
+                first = order[first]
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.where(known[first], -n, n)), pa.array(c)], ["h", "n", "c"])
 
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "h long, n long, c long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
 def named(docs: DataFrame, filters: list[Bloom], frequent: Bloom, bits: int = 64) -> DataFrame:
@@ -219,6 +231,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
     texts = docs.where(F.col(text).isNotNull())
     columns = [F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")]
     rows, part = texts.select(*columns), texts.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id), F.col(text)), F.lit(SAMPLE)) == 0).select(*columns)
+    n_parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SAMPLE)
     enough = max(1, int(LOWERED * least / SAMPLE))
     paths: list[str] = []
 
@@ -227,6 +240,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
         paths.append(path)
         return out
 
+    part = kept(part.repartition(n_parts))  # in its own few tasks, so that a phrase is met by few of them
     proposal = None
     for low, high, closed_to in ((1, 1, 0), (2, 2, 1), (3, LONGEST, 2)):  # words, pairs, and longer ones that hold only such pairs
         filters = [bloom_of(proposal)] if high > 1 else []
@@ -245,9 +259,17 @@ def frequent_phrases(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
         if not done["failures"][-1]:
             break
         proposal = proposal.unionByName(failed)
-    names = kept(named(rows, filters, bloom_of(frequent.select("h")), bits))
-    phrases = names.where("k > 0").groupBy("h", "g").agg(F.min("lang").alias("lang"), F.min("k").alias("k"), F.min("phrase").alias("phrase"))
-    phrases = kept(phrases.join(frequent.groupBy("h").agg(F.max(F.abs("n")).alias("f")), "h"))
+    frequent = kept(frequent.groupBy("h").agg(F.max(F.abs("n")).alias("f"), F.max("c").alias("c"), (F.max("n") < 0).alias("known"), F.count(F.lit(1)).alias("m")))
+    by_name = lambda names: names.where("k > 0").groupBy("h", "g").agg(F.min("lang").alias("lang"), F.min("k").alias("k"), F.min("phrase").alias("phrase"))
+    known = frequent.where("known AND m = 1")
+    some = by_name(named(part, filters, bloom_of(known.select("h")), bits)).join(known, "h")
+    alone = kept(some.where(F.col("c") == F.col("f") * F.col("g").bitwiseAND(F.lit(int(SUMMED)))))
+    # two phrases of one hash can't both have the sum of their own, but for a sum that is so by chance
+    alone = alone.join(alone.groupBy("h").agg(F.count(F.lit(1)).alias("_m")).where("_m = 1"), "h").select("h", "g", "lang", "k", "phrase", "f")
+    rest = kept(frequent.join(alone.select("h"), "h", "left_anti").select("h", "f"))
+    names = kept(named(rows, filters, bloom_of(rest.select("h")), bits))
+    phrases = kept(by_name(names).join(rest, "h").unionByName(alone))
+    done["named"] = alone.count()
     shared = phrases.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h")
     done["shared"] = shared.count()
     if done["shared"]:

@@ -10,15 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from predlens.llm import collocations, embedding_dedup, hard_negatives
-from predlens.llm import queries as llm
-
-from ..compare import same
-from ..conftest import DATA
-
-
-@pytest.mark.parametrize("name", ["op11_collocations", "op12_embedding_dedup", "op13_hard_negatives"])
-def test_query_gives_the_rows_of_its_sql(spark, name):
-    same(llm.QUERIES[name](spark, DATA), llm.ORACLES[name], DATA)
 
 
 def brute_phrases(rows, least):
