@@ -3,7 +3,9 @@
 Every source has a schedule of its weight over training time, from 0 to 1. Its integral, scaled to the source's target,
 is the words demanded by that time. The documents of a source are laid one after the other in an order by hash, again and
 again up to the cap; inverting the cumulative demand at a copy's middle gives its position, and the copies of all sources
-are range-sorted by position. The last copy within a target is cut there, so a source's words are its target, rounded down.
+are range-sorted by position. The plan counts words up to the target, rounded down, within the last copy too. The mixed corpus
+holds whole copies: the one that crosses the target is there if that comes nearer to it, so a source's words differ from its target by
+half a document at most.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, cap: int = CAP,
     first copy); and the names these have, which differ where docs has such columns.
 
     Null text or id, repeated rows: each row counts by its own size; null sources are one source, the last. A document
-    without words takes none and has no position. Very long texts count whole; a cut copy is the only part of a text. No rows give no rows. The order within a source is by md5 of the id, cut
+    without words takes none and has no position. Very long texts count whole. No rows give no rows. The order within a source is by md5 of the id, cut
     into 4096 buckets: sums of buckets are scanned first, then each bucket by itself, so no task has to hold a source.
     """
     return _planned(docs, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), F.xxhash64(text), weights, schedules, cap, doc_id, source)
@@ -91,13 +93,12 @@ def _planned(docs: DataFrame, words: Column, tie_by: Column, weights=WEIGHTS, sc
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """The mixed corpus with the columns of docs: a row for each copy, range-sorted by position; a cut copy's text ends after
-    the words it takes."""
+    """The mixed corpus with the columns of docs: a row for each whole copy, range-sorted by position. Of a copy that the plan takes words
+    from in part, at least half must be taken."""
     rows, names = plan(docs, doc_id=doc_id, source=source, text=text, **options)
     c, = fresh(rows, "_c")
     rows = rows.withColumn(c, F.explode(names["copies"]))
-    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col(f"{c}.take").cast("int")), " ")
-    rows = rows.withColumn(text, F.when(F.col(f"{c}.take") < F.col(names["size"]), words).otherwise(F.col(text)))
+    rows = rows.where(F.col(f"{c}.take") * 2 >= F.col(names["size"]))
     rows = rows.repartitionByRange(F.col(f"{c}.position"), F.col(doc_id)).sortWithinPartitions(F.col(f"{c}.position"), F.col(doc_id))
     return rows.select(*docs.columns)
 

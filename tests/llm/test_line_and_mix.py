@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,7 +109,12 @@ def test_mixing(spark):
     assert sum(r["taken"] for r in rows) == pytest.approx(sum(sizes.values()), abs=len(sizes))
     out = mixing.mix(df)
     assert out.columns == df.columns
-    assert out.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] == sum(r["taken"] for r in rows)
+    whole = Counter((r["doc_id"], r["source"], r["size"]) for r in rows for c in r["copies"] if 2 * c["take"] >= r["size"])
+    assert Counter((r.doc_id, r.source, len(r.text.split())) for r in out.collect()) == whole
+    texts = {(i, s): t for i, s, t, _, _ in docs}
+    assert all(r.text == texts[r.doc_id, r.source] for r in out.collect())
+    for s in sizes:
+        assert abs(sum(n * m for (_, t, n), m in whole.items() if t == s) - want[s]) <= max(r["size"] for r in rows if r["source"] == s) / 2 + 1
     again, _ = mixed(spark, docs)
     assert sorted(again, key=repr) == sorted(rows, key=repr)
 

@@ -37,10 +37,10 @@ def test_stages_against_brute_force(spark, tmp_path):
     before, after = stages["near_dedup"]
     assert {r.doc_id for r in after} == {i for i, (_, c) in brute_links([(r.doc_id, r.text) for r in before], 5).items() if i == c}
     before, after = stages["mixing"]
-    own = {r.doc_id: r.text.split() for r in before}
-    assert all(r.text.split() == own[r.doc_id][: len(r.text.split())] for r in after)
+    own = {r.doc_id: r.text for r in before}
+    assert all(r.text == own[r.doc_id] for r in after)  # copies are whole
     words = lambda rows: sum(len(r.text.split()) for r in rows)
-    assert abs(words(after) - words(before)) < 30
+    assert abs(words(after) - words(before)) <= len({r.source for r in before}) * max(len(t.split()) for t in own.values()) / 2 + 1
     texts, encoded = stages["bpe_encoding"]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
