@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, held_out, map_rows, per_worker, save
 
-#: Most confirmed and unlabelled documents that are learned from; classifiers; the score from which a document is toxic.
-POSITIVE, UNLABELLED, MODELS, LIMIT = 4000, 12000, 3, 0.3
+#: Most confirmed and unlabelled documents that are learned from; classifiers; the score from which a document is toxic; the highest prior.
+POSITIVE, UNLABELLED, MODELS, LIMIT, MOST_PRIOR = 4000, 12000, 3, 0.3, 0.5
 #: Most candidates for features, the most frequent ones; least number and share of confirmed documents that have one, and how many
 #: times as frequent it must be among them as among the unlabelled.
 CANDIDATES, LEAST, LEAST_SHARE, LIFT = 50_000, 4, 0.005, 4
@@ -100,22 +100,25 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], n: int, prio
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> tuple[list[str], np.ndarray]:
     """Features and, for each classifier, their weights and a bias.
 
-    Held-out documents and labels are left out. The prior is the share of toxic rows among the labels. The samples are the
+    Held-out documents and labels are left out. An id that is labelled more than once is toxic if any of its labels says so. The prior is the share of toxic
+    ids among the labelled ones, MOST_PRIOR at most: beyond that unlabelled text would tell nothing about what is clean. The samples are the
     first by a hash of the id, bounded by POSITIVE and UNLABELLED whatever the size of the tables; a classifier is trained in
-    one task on all confirmed and its share of the unlabelled ones.
+    one task on all confirmed and its share of the unlabelled ones. Equal texts are learned from once, so a table in another order gives
+    the same classifiers.
     """
     spark = docs.sparkSession
     labels_known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    prior = labels_known.agg(F.avg((F.col(toxic) == 1).cast("double"))).first()[0] or 0.0
+    labels_known = labels_known.groupBy(doc_id).agg(F.max((F.col(toxic) == 1).cast("int")).alias(toxic))
+    prior = labels_known.agg(F.avg(F.col(toxic).cast("double"))).first()[0] or 0.0
     if prior <= 0:
         return [], np.zeros((0, 1))
-    prior = min(prior, 0.5)
+    prior = min(prior, MOST_PRIOR)
     draw = F.xxhash64(doc_id, F.lit("fit"))
     some = lambda df, n: df.select(doc_id).distinct().orderBy(draw, doc_id).limit(n)
     texts = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     ids = some(labels_known.where(F.col(toxic) == 1), POSITIVE).withColumn("kind", F.lit(1)).unionByName(some(texts, UNLABELLED).withColumn("kind", F.lit(0)))
-    sample = texts.select(doc_id, text).join(F.broadcast(ids), doc_id).select("kind", F.xxhash64(doc_id, F.lit("part")).alias("key"), F.col(text).alias("text"))
-    sample, path = save(sample.withColumn("same", F.xxhash64("text")).dropDuplicates(["kind", "same"]).drop("same"))
+    sample = texts.select(doc_id, text).join(F.broadcast(ids), doc_id).select("kind", F.xxhash64(text, F.lit("part")).alias("key"), F.col(text).alias("text"))
+    sample, path = save(sample.distinct())  # by text alone, so neither copies nor the order of rows matter
 
     def frequencies(names=None):
         def make():
@@ -152,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n = len(words)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
+        pdf = pdf.assign(size=pdf["features"].map(len)).sort_values(["key", "kind", "size"], kind="stable")
         p, u = ([np.asarray(f, np.int64) for f in pdf.loc[pdf["kind"] == k, "features"]] for k in (1, 0))
         return pd.DataFrame({"model": [key[0]], "w": [train(p, u, n, prior, int(key[0])).tolist()]})
 
