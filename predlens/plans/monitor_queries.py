@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import stats
-from ..operators import active, curate, drift, fairness, hypothesis, papers, questions, sketches, temporal
+from ..operators import active, curate, drift, fairness, hypothesis, ingest_qc, papers, questions, sketches, temporal
 from ..sources import io, papers_xml
 from ..streaming import jobs, stateful, streams
 from . import pipeline
@@ -294,3 +294,39 @@ def research_report(spark, d):
     rows = V.records(spark, d)
     last = io.latest(drift.report(rows, ["batch_id"]), "batch_id")
     return questions.report_rows(class_metrics(rows), fairness.by_axis(rows, "sex"), last)
+
+
+# image files
+
+
+def _bytes(n, count: int):
+    """A number's bytes, the lowest first, in hexadecimal digits."""
+    return F.concat(*(F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(count)))
+
+
+def bitmap(height, width: int, pixel):
+    """A bitmap file of one colour: height, width (a multiple of four) and the pixel as six hexadecimal digits, blue first."""
+    size, number = height * F.lit(3 * width), lambda x: _bytes(F.lit(x), 4)
+    head = F.concat(F.lit("424D"), _bytes(size + 54, 4), number(0), number(54), number(40), number(width), _bytes(height, 4), F.lit("01001800"), number(0), _bytes(size, 4), *(number(0) for _ in range(4)))
+    return F.unhex(F.concat(head, F.repeat(pixel, height * width)))
+
+
+@query("""WITH img AS (SELECT concat('/in/', CASE WHEN p_partkey % 2 = 0 THEN 'img_' WHEN p_partkey % 3 = 0 THEN 'Only ' ELSE 'Img ' END, p_partkey // 2, '.png') AS path, concat(p_partkey % 256, '|', p_size) AS content,
+CASE WHEN p_partkey % 17 = 0 THEN -1 ELSE 20 + p_size END AS height, greatest(p_partkey % 256, p_partkey * 7 % 256, p_partkey * 13 % 256) AS hi, least(p_partkey % 256, p_partkey * 7 % 256, p_partkey * 13 % 256) AS lo FROM part),
+f AS (SELECT content, min(path) AS first FROM img WHERE height >= 0 GROUP BY content),
+r AS (SELECT img.*, CASE WHEN height >= 0 AND first <> path THEN first END AS dup, CASE WHEN lower(replace(path, ' ', '_')) <> path AND lower(replace(path, ' ', '_')) NOT IN (SELECT path FROM img) THEN lower(replace(path, ' ', '_')) END AS rename_to,
+CASE WHEN hi > 0 THEN (hi - lo) / CAST(hi AS DOUBLE) * 255 ELSE 0 END AS sat FROM img LEFT JOIN f USING (content)),
+i AS (SELECT *, CASE WHEN height < 0 THEN 'corrupt' ELSE concat_ws(';', CASE WHEN least(height, 40) < 32 THEN 'too_small' END, CASE WHEN dup IS NOT NULL THEN concat('duplicate_of:', dup) END, CASE WHEN sat < 10 THEN 'ood:near_grayscale' END,
+CASE WHEN hi < 20 THEN 'ood:near_black' END, CASE WHEN hi > 250 THEN 'ood:near_white' END, CASE WHEN rename_to IS NOT NULL THEN 'renamed' END) END AS issues FROM r)
+SELECT path, CAST(height AS INTEGER) AS height, CASE WHEN height < 0 THEN -1 ELSE 40 END AS width, issues, CASE WHEN issues = '' THEN 'clean' WHEN height < 0 THEN 'remove' WHEN dup IS NOT NULL THEN 'remove_duplicate' ELSE 'flag' END AS action, rename_to FROM i""")
+def ingest_files(spark, d):
+    """Parts as image files, written, found by their suffix, read, decoded and checked; some are no images, some are copies, and some have
+    names to clean."""
+    path, p = io.shared_dir(spark), F.col("p_partkey")
+    name = F.concat(F.when(p % 2 == 0, "img_").when(p % 3 == 0, "Only ").otherwise("Img "), F.floor(p / 2).cast("string"), F.lit(".png"))
+    pixel = F.concat(*(F.lpad(F.hex(p * k % 256), 2, "0") for k in (1, 7, 13)))
+    image = F.when(p % 17 == 0, F.concat(F.lit("no image "), p.cast("string")).cast("binary")).otherwise(bitmap(F.col("p_size").cast("int") + 20, 40, pixel))
+    io.write_files(V.table(spark, d, "part").select(name.alias("name"), image.alias("content")), path)
+    out = ingest_qc.scan(io.image_files(spark, path), io.decoded_images(spark, path))
+    inside = lambda c: F.regexp_replace(c, r"(file:)?/[^:;]*/(?=[^/;]*\.png)", "/in/")
+    return out.select(inside("path").alias("path"), "height", "width", inside(F.concat_ws(";", "issues")).alias("issues"), "action", inside("rename_to").alias("rename_to"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,6 +74,23 @@ def image_files(spark: SparkSession, path: str, suffixes=IMAGE_SUFFIXES) -> Data
     return files.where(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
 
 
+def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """One file for each row, with the row's name and bytes, and their number. Tasks write through Arrow's file systems, to the folder's
+    own store; a task that runs again writes the same files."""
+    target = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(target)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for n, c in zip(*batch.columns, strict=True):
+                with store.open_output_stream(f"{base}/{n.as_py()}") as out:
+                    out.write(c.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.select(name, content).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def decoded_images(spark: SparkSession, path: str) -> DataFrame:
     """path, height, width, channels and pixel bytes (blue first); height -1 for a file that can't be decoded."""
     # the origin is a URI, a listed path is not

@@ -206,3 +206,45 @@ def test_batch_scoring_goes_on_after_a_bad_row(spark):
     df = spark.createDataFrame([(1, [1.0] * 7), (2, None), (3, [float("nan")] * 7)], "id int, x array<double>")
     out = {r.id: (r.logits, r.error) for r in score.score_batch(df, make, ["x"], shapes=[[7]]).collect()}
     assert out == {1: ([2.0] * 7, None), 2: (None, "no prediction"), 3: (None, "no prediction")}
+
+
+def test_a_stage_that_fails_while_running_is_logged(spark, tmp_path):
+    """The plan is fine; the error comes from a row."""
+    df = probs_frame(spark, [(str(i), spread(0.5 + i / 100, 0.1), "mel") for i in range(12)]).withColumns({"batch_id": F.lit(1), "sex": F.lit("f"), "age": F.lit(50.0), "site": F.lit("x")})
+    log = str(tmp_path / "log")
+    fails = {"fails": lambda t: t["records"].select(F.raise_error(F.concat(F.lit("no good: "), "image_id")).alias("x")), "after": lambda t: t["records"].groupBy("batch_id").count()}
+    out = pipeline.run(qa.annotate(df), log, plan=fails)
+    out["records"].unpersist()
+    assert out["fails"] is None and out["after"].first()["count"] == 12
+    line = io.run_log(spark, log).where("agent = 'fails'").first()
+    assert line.status == "error" and "no good" in line.error and line.run_count == 1
+
+
+def test_two_runs_at_once_get_two_numbers(spark, tmp_path):
+    log = str(tmp_path / "log")
+    assert [pipeline.next_run(spark, "a", log) for _ in range(3)] == [1, 2, 3] and pipeline.next_run(spark, "b", log) == 1
+
+
+def test_files_are_written_with_their_names(spark):
+    path = io.shared_dir(spark)
+    rows = spark.createDataFrame([("a b.png", bytearray(b"\x00\x01")), ("é.jpg", bytearray(b"x"))], "name string, content binary")
+    assert io.write_files(rows, path) == 2 and io.write_files(rows.limit(0), path) == 0
+    found = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in io.image_files(spark, path).collect()}
+    assert found == {"a b.png": b"\x00\x01", "é.jpg": b"x"}
+
+
+def test_ingest_reads_each_source_once(spark):
+    files = spark.createDataFrame([("/x/A b.png", bytearray(b"1")), ("/x/c.png", bytearray(b"1"))], "path string, content binary")
+    images = spark.createDataFrame([("/x/A b.png", 40, 40, 3, bytearray(b"\x01\x02\x03" * 4)), ("/x/c.png", 40, 40, 3, bytearray(b"\x01\x02\x03" * 4))], "path string, height int, width int, channels int, data binary")
+    out = ingest_qc.scan(files, images)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "content" not in plan and "pixel_means" not in plan  # only the table of facts is read from then on
+    assert {r.path: (r.action, r.rename_to) for r in out.collect()} == {"/x/A b.png": ("flag", "/x/a_b.png"), "/x/c.png": ("remove_duplicate", None)}
+
+
+def test_one_scan_of_records_for_all_tests(spark):
+    df = probs_frame(spark, [(str(i), spread(0.5 + i / 100, 0.1), "mel") for i in range(12)]).withColumn("sex", F.when(F.col("image_id") < "5", "female"))
+    plan = hypothesis.test(df, [("sex", "female"), ("human_label", "mel")])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Python" not in plan
+    scored = score.score_batch(df.withColumn("x", F.col("probs")), lambda: (lambda x: x), ["x"], shapes=[[7]])
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
