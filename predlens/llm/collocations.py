@@ -12,8 +12,8 @@
 The proposal is known to tasks as a Bloom filter of bounded size. A false positive only means that a phrase is taken as proposed,
 with all that follows from it, so the result does not depend on the filter. Passes count 64-bit hashes, which bounds the counts of
 phrases from above, and add up a part of a second hash of what is proposed, which tells whether a hash is that of one phrase alone. The
-words of most frequent phrases are found in the sample. A last pass over all documents finds those of the others, by both hashes; where
-phrases share the first one, they are counted once more by both.
+words of proposed phrases are found in the sample, in a document that each was seen in. A last pass over all documents finds those of
+the others, by both hashes; where phrases share the first one, they are counted once more by both.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ SUMMED = np.uint64(2**24 - 1)
 #: Salts of a ranking that would meet in one task a language.
 SALTS = 32
 
-_BREAK = b"\xff"  # stands in no UTF-8 text
+_BREAK, _NEXT = b"\xff", b"\xfe"  # end of a piece, and of a document; neither stands in UTF-8 text
 #: A-Z to lower case, ends of pieces to _BREAK, tabs to blanks.
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + _BREAK * 10 + b" ")
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -84,22 +84,25 @@ def bloom_of(hashes: DataFrame) -> Bloom:
     return Bloom(blocks, [(r[0], bytes(r[1])) for r in each.mapInArrow(run, "block int, bits binary").collect()])
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
-    """(language, text) of about CHUNK bytes, cut where pieces end; columns are language and text. A piece is never cut."""
-    waiting: dict[str, list[bytes]] = {}
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, list]]:
+    """(language, text, ids of its documents) of about CHUNK bytes, cut where pieces end; columns are language, text and, if there, id. A
+    piece is never cut."""
+    waiting: dict[str, tuple[list[bytes], list]] = {}
     held = 0
     for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            text = text.as_py().encode("utf-8", "surrogatepass").translate(_TABLE)
+        for lang, text, *own in zip(*batch.columns, strict=True):
+            lang, text, own = lang.as_py(), text.as_py().encode("utf-8", "surrogatepass").translate(_TABLE), own[0].as_py() if own else None
             while len(text) > CHUNK and (cut := text.find(_BREAK, CHUNK)) >= 0:
-                yield lang.as_py(), text[:cut]
+                yield lang, text[:cut], [own]
                 text = text[cut + 1 :]
-            waiting.setdefault(lang.as_py(), []).append(text)
+            texts, ids = waiting.setdefault(lang, ([], []))
+            texts.append(text)
+            ids.append(own)
             held += len(text)
             if held >= CHUNK:
-                yield from ((k, _BREAK.join(v)) for k, v in waiting.items())
+                yield from ((k, _NEXT.join(v), i) for k, (v, i) in waiting.items())
                 waiting, held = {}, 0
-    yield from ((k, _BREAK.join(v)) for k, v in waiting.items())
+    yield from ((k, _NEXT.join(v), i) for k, (v, i) in waiting.items())
 
 
 class Words:
@@ -107,14 +110,18 @@ class Words:
 
     def __init__(self, lang: str, text: bytes, bits: int = 64):
         # no white space is left but blanks, so split() cuts words as the definition does
-        places = np.array(text.replace(_BREAK, b" \xff ").split() or [_BREAK], object)
+        places = np.array(text.replace(_BREAK, b" \xff ").replace(_NEXT, b" \xfe ").split() or [_BREAK], object)
         self.code, self.names = pd.factorize(places)
         seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
         self.hash = np.frombuffer(b"".join(map(_digest, self.names, itertools.repeat(seed))), "<u8").reshape(-1, 2)
-        self.word = np.asarray(self.names != _BREAK)[self.code]
+        self.word = np.asarray((self.names != _BREAK) & (self.names != _NEXT))[self.code]
         self.mask = np.uint64(2**bits - 1)
         self.first = (self.hash[:, 0] & self.mask)[self.code]
 
+    def document(self, at: np.ndarray) -> np.ndarray:
+        """Number of the document in the chunk, of each place."""
+        return np.cumsum(np.asarray(self.names == _NEXT)[self.code])[at]
+
     def second(self, at: np.ndarray, k: int) -> np.ndarray:
         """The second hash of the phrases of k words at these places."""
         each, out = self.hash[:, 1], np.zeros(len(at), np.uint64)
@@ -148,15 +155,15 @@ class Words:
                 proposed[i][at] = now | new if i and i == len(known) - 1 else now
 
 
-def counted(docs: DataFrame, filters: list[Bloom], least: int = 1, longest: int = LONGEST, closed_to: int = LONGEST, bits: int = 64) -> DataFrame:
-    """h, n, c for the phrases of least to longest words that are new with the last filter. n is below zero for those that it proposes; c
+def counted(docs: DataFrame, filters: list[Bloom], least: int = 1, bits: int = 64) -> DataFrame:
+    """h, n, c for the phrases of least or more words that are new with the last filter. n is below zero for those that it proposes; c
     is the sum of their second hashes' SUMMED bits, and 0 for others."""
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, text in chunks(batches):
+        for lang, text, _ in chunks(batches):
             words = Words(lang, text, bits)
-            for k, at, h, known, new in words.phrases(sent.value, closed_to, longest):
+            for k, at, h, known, new in words.phrases(sent.value):
                 if k < least or not new.any():
                     continue
                 at, h, known = at[new], h[new], known[new]
@@ -172,6 +179,41 @@ def counted(docs: DataFrame, filters: list[Bloom], least: int = 1, longest: int
     return docs.mapInArrow(run, "h long, n long, c long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
+def proposed(sample: DataFrame, filters: list[Bloom], least: int, longest: int, closed_to: int, bits: int = 64) -> DataFrame:
+    """h, n, id for the phrases of least to longest words in the sample (lang, text, id): how often, and a document that has it."""
+    sent = sample.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, text, ids in chunks(batches):
+            words, ids = Words(lang, text, bits), np.array(ids, np.int64)
+            for k, at, h, _, new in words.phrases(sent.value, closed_to, longest):
+                if k >= least and new.any():
+                    h, first, n = np.unique(h[new], return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(ids[words.document(at[new][first])])], ["h", "n", "id"])
+
+    return sample.mapInArrow(run, "h long, n long, id long").groupBy("h").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+
+
+def named_in_sample(sample: DataFrame, filters: list[Bloom], wanted: DataFrame, bits: int = 64) -> DataFrame:
+    """h, g, lang, k, phrase: phrases of the wanted hashes (h, id) in the document of each."""
+    sent = sample.sparkSession.sparkContext.broadcast(filters)
+    asked = sample.join(wanted.groupBy("id").agg(F.collect_list("h").alias("hs")), "id").select("lang", "text", "hs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text, hs in zip(*batch.columns, strict=True):
+                words = Words(lang.as_py(), text.as_py().encode("utf-8", "surrogatepass").translate(_TABLE), bits)
+                hs, rows = np.asarray(hs.values).view(np.uint64), []
+                for k, at, h, _, _ in words.phrases(sent.value):
+                    at, h = at[has := np.isin(h, hs)], h[has]
+                    found = zip(h.view(np.int64).tolist(), words.second(at, k).view(np.int64).tolist(), words.names[words.code[at[:, None] + np.arange(k)]].tolist(), strict=True)
+                    rows += [(*key, lang.as_py(), k, b" ".join(row).decode("utf-8", "surrogatepass")) for key, row in {(a, b): row for a, b, row in found}.items()]
+                columns, kinds = list(zip(*rows, strict=True)) or [()] * 5, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "g", "lang", "k", "phrase"])
+
+    return asked.mapInArrow(run, "h long, g long, lang string, k int, phrase string").distinct()
+
+
 def named(docs: DataFrame, filters: list[Bloom], frequent: Bloom, bits: int = 64) -> DataFrame:
     """h, g, k, phrase, words, lang: the phrases at the places that were counted whose hash is frequent; k = 0 for a number of words.
 
@@ -181,7 +223,7 @@ def named(docs: DataFrame, filters: list[Bloom], frequent: Bloom, bits: int = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (before, wanted), seen = sent.value, set()
-        for lang, text in chunks(batches):
+        for lang, text, _ in chunks(batches):
             words = Words(lang, text, bits)
             columns: list[list] = [[0], [0], [0], [""], [int(words.word.sum())]]
             for k, at, h, _, _ in words.phrases(before):
@@ -214,7 +256,7 @@ def counted_by_both(docs: DataFrame, filters: list[Bloom], shared: Bloom, bits:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, wanted = sent.value
-        for lang, text in chunks(batches):
+        for lang, text, _ in chunks(batches):
             words = Words(lang, text, bits)
             for k, at, h, _, _ in words.phrases(before):
                 has = wanted.has(h)
@@ -231,7 +273,6 @@ def frequent_phrases(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
     texts = docs.where(F.col(text).isNotNull())
     columns = [F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")]
     rows, part = texts.select(*columns), texts.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id), F.col(text)), F.lit(SAMPLE)) == 0).select(*columns)
-    n_parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SAMPLE)
     enough = max(1, int(LOWERED * least / SAMPLE))
     paths: list[str] = []
 
@@ -240,18 +281,18 @@ def frequent_phrases(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
         paths.append(path)
         return out
 
-    part = kept(part.repartition(n_parts))  # in its own few tasks, so that a phrase is met by few of them
-    proposal = None
+    part, proposal = kept(part.withColumn("id", F.monotonically_increasing_id())), None
     for low, high, closed_to in ((1, 1, 0), (2, 2, 1), (3, LONGEST, 2)):  # words, pairs, and longer ones that hold only such pairs
         filters = [bloom_of(proposal)] if high > 1 else []
-        found = kept(counted(part, filters, low, high, closed_to, bits).where(F.abs("n") >= enough).select("h"))
+        found = kept(proposed(part, filters, low, high, closed_to, bits).where(F.col("n") >= enough).select("h", "id"))
         proposal = found if proposal is None else proposal.unionByName(found)
+    seen, proposal = proposal.groupBy("h").agg(F.min("id").alias("id")), proposal.select("h")
     done = {"proposed": proposal.count(), "failures": []}
     filters, frequent = [], None
     while True:
         filters.append(bloom_of(proposal))
         again = frequent is not None
-        found = kept(counted(rows, filters, 2 if again else 1, bits=bits).where(F.abs("n") >= least))
+        found = kept(counted(rows, filters, 2 if again else 1, bits).where(F.abs("n") >= least))
         # after a failure all that is new counts as proposed, so nothing new can fail
         failed = found.where("n > 0").select("h") if not again else found.limit(0).select("h")
         frequent = found if frequent is None else frequent.unionByName(found)
@@ -262,7 +303,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, doc_id: str = "doc_id",
     frequent = kept(frequent.groupBy("h").agg(F.max(F.abs("n")).alias("f"), F.max("c").alias("c"), (F.max("n") < 0).alias("known"), F.count(F.lit(1)).alias("m")))
     by_name = lambda names: names.where("k > 0").groupBy("h", "g").agg(F.min("lang").alias("lang"), F.min("k").alias("k"), F.min("phrase").alias("phrase"))
     known = frequent.where("known AND m = 1")
-    some = by_name(named(part, filters, bloom_of(known.select("h")), bits)).join(known, "h")
+    some = named_in_sample(part, filters, known.join(seen, "h").select("h", "id"), bits).join(known, "h")
     alone = kept(some.where(F.col("c") == F.col("f") * F.col("g").bitwiseAND(F.lit(int(SUMMED)))))
     # two phrases of one hash can't both have the sum of their own, but for a sum that is so by chance
     alone = alone.join(alone.groupBy("h").agg(F.count(F.lit(1)).alias("_m")).where("_m = 1"), "h").select("h", "g", "lang", "k", "phrase", "f")

@@ -76,7 +76,7 @@ def test_long_texts_are_cut_where_pieces_end(monkeypatch):
     rows = [("en", "one two three four five. " * 40), ("en", "no end of piece " * 30), ("de", "x")]
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "text"])
     got, parts = Counter(), list(collocations.chunks(iter([batch])))
-    for lang, text in parts:
+    for lang, text, _ in parts:
         words = collocations.Words(lang, text)
         for k, at, *_ in words.phrases([]):
             got.update((lang, tuple(w.decode() for w in words.names[words.code[i : i + k]])) for i in at.tolist())
