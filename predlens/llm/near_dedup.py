@@ -8,12 +8,15 @@ has left in different components:
 2. All pairs within a run of equal prefix, where the run is small. Longer runs are cut by longer prefixes until they are small,
    so the depth adapts to each region.
 3. Runs that are still large at a prefix of five and hold several components are regions. Their nodes meet the best linked node of
-   the region; then all nodes outside the region's largest component meet all nodes of it, block by block, with exact
-   set intersections inside a task that gives back no more links than join components.
+   the region. What is left of a large region, nodes outside its largest component, goes through a prefix filter: two sets that are
+   similar enough share one of the rarest shingles of each, so nodes meet by those, of like sizes only, and are confirmed in full. Pages
+   of one template have rare shingles of their own, and few meet. Where rare shingles are shared by so many that this would be
+   dearer, as among variants of one text, and in smaller regions, nodes outside the largest component meet all nodes of the region, block by
+   block, with exact set intersections inside a task that gives back no more links than join components.
 
 So of two similar documents that share a prefix of five in any of the 32 orders, a link is never lost, however crowded a region
-is; for similarity 0.8 the chance to share none is 3e-6, computed as if orders were independent. The third step costs the nodes
-outside a region's largest component times the nodes of the region.
+is; for similarity 0.8 the chance to share none is 3e-6, computed as if orders were independent. The third step costs the pairs that
+share a rare shingle, or the nodes outside a region's largest component times the nodes of the region, whichever is less.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ HASHES, TREES, STEP, DEPTH = 128, 32, 4, 16
 PREFIXES, SMALL, SALTS = (5, 8, 16), 16, 8
 #: Nodes, and bytes of their sets, of the two sides of a block of a crowded region.
 OUTSIDE, OUTSIDE_BYTES, INSIDE, INSIDE_BYTES = 256, 4_000_000, 1024, 16_000_000
+#: Pairs of a region from which on its rare shingles are looked at, and the part of them that makes these worth it.
+PREFIX_FROM, WORTH = 4_000_000, 20
 #: Similarity of linked documents, in percent.
 SIMILAR = 80
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -268,6 +273,45 @@ def _crowded(dense: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return asking.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(meet, "a long, b long").distinct()
 
 
+def _tokens(rows: DataFrame) -> DataFrame:
+    """region, id, token: a row for each shingle of rows (region, id, set)."""
+
+    def make():
+        def each(regions, ids, sets):
+            tokens = [np.frombuffer(s, np.int64) for s in sets]
+            times = [len(t) for t in tokens]
+            return [np.repeat(np.array(regions, np.int64), times), np.repeat(np.array(ids, np.int64), times), np.concatenate([np.empty(0, np.int64), *tokens])]
+
+        return each
+
+    return map_rows(rows.select("region", "id", "set"), make, "region long, id long, token long", "set")
+
+
+def rare_shingles(dense: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """region, token, id, root, outside, size, short: the rarest shingles of each node (region, id, root, outside). Two sets that are similar enough
+    have one in common that is among the short ones of the smaller set: it has so few shingles more than both must share, which is a share of
+    the sizes' sum. Rare is what few nodes of the region have; ties go by the shingle."""
+    rows = dense.join(sets, "id")
+    tokens = _tokens(rows).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    counts = tokens.groupBy("region", "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # some are in every set of the region
+    held = tokens.join(counts, ["region", "token", "salt"]).groupBy("region", "id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    size = F.size("t")
+    first = size - F.ceil(size * similar / 100.0) + 1
+    held = held.select("region", "id", size.alias("size"), F.posexplode(F.slice("t", F.lit(1), first.cast("int"))).alias("nth", "x"))
+    short = F.col("nth") <= F.col("size") - F.ceil(F.col("size") * (2 * similar) / (100.0 + similar))
+    return held.select("region", "id", "size", "x.token", short.alias("short")).join(dense.select("id", "root", "outside"), "id")
+
+
+def rare_pairs(postings: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) that share a rare shingle, are in different components, and of sizes that can be similar enough; one is outside."""
+    side = lambda rows, p: rows.select("region", "token", *(F.col(c).alias(p + c) for c in ("id", "root", "outside", "size")))
+    both = side(postings.where("short"), "a_").join(side(postings, "b_"), ["region", "token"])
+    both = both.where("(a_size < b_size OR a_size = b_size AND a_id < b_id) AND a_root <> b_root AND (a_outside OR b_outside)")
+    both = both.where(100 * F.col("a_size") >= similar * F.col("b_size"))
+    return both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+
+
 class _Linker:
     """The growing components: labels (node, root), links and the pairs that have been compared."""
 
@@ -367,8 +411,18 @@ def _regions(linker: _Linker, large: DataFrame) -> None:
     met = linker.roots(nodes, "id", "root").join(hubs, "region").withColumns({"outside": F.col("id") != F.col("hub"), "met": F.col("id") == F.col("hub")})
     linker.merge(_crowded(linker.save(met.drop("hub")), linker.sets, linker.similar))
     dense = linker.save(placed())
-    outside = dense.where("outside").select("region").distinct()
-    linker.merge(_crowded(dense.join(outside, "region").withColumn("met", F.lit(True)), linker.sets, linker.similar))
+    sizes = linker.save(dense.groupBy("region").agg(F.count_if("outside").alias("n_out"), F.count(F.lit(1)).alias("n")).where("n_out > 0"))
+    blocks = sizes.select("region")
+    large = sizes.where(F.col("n_out") * F.col("n") > PREFIX_FROM)
+    if not large.isEmpty():
+        postings = linker.save(rare_shingles(dense.join(large.select("region"), "region"), linker.sets, linker.similar))
+        met = postings.groupBy("region", "token").agg(F.count_if("short").cast("double").alias("short"), F.count(F.lit(1)).alias("m"))
+        cost = met.groupBy("region").agg(F.sum(F.col("short") * (F.col("m") - 1)).alias("cost"))
+        cheap = linker.save(large.join(cost, "region").where(F.col("cost") * WORTH <= F.col("n_out") * F.col("n")).select("region"))
+        linker.compare(linker.untried(rare_pairs(postings.join(cheap, "region"), linker.similar)))
+        blocks = blocks.join(cheap, "region", "left_anti")
+        dense = linker.save(placed())
+    linker.merge(_crowded(dense.join(blocks, "region").withColumn("met", F.lit(True)), linker.sets, linker.similar))
 
 
 def link(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -437,4 +491,4 @@ def keep_one(docs: DataFrame, width: int = 5, similar: int = SIMILAR, doc_id: st
     """docs with one document of each component, the one of the smallest id; columns as they are."""
     key, = fresh(docs, "_gone")
     gone = link(docs, width, similar, doc_id, text).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[doc_id] == gone[key], "left_anti")
+    return docs.join(gone.hint("merge"), docs[doc_id] == gone[key], "left_anti")

@@ -49,6 +49,42 @@ def test_crowds_lose_no_link(spark, n, low, high):
     assert [got[i] for i in range(n)] == true_components(docs, 2).tolist()
 
 
+def template(n, seed, shared=130, own=30):
+    """Pages of one template, similar to 0.5 to 0.75, of which a few are near copies of others."""
+    rng, out = random.Random(seed), []
+    frame = [f"t{i}" for i in range(shared)]
+    for i in range(n):
+        if i % 40 == 7:
+            out.append([w if rng.random() > 0.02 else f"e{rng.randrange(10**9)}" for w in out[rng.randrange(len(out))]])
+        else:
+            cut = rng.randrange(shared)
+            out.append([*frame[:cut], *(f"p{rng.randrange(10**9)}" for _ in range(own)), *frame[cut:]])
+    return out
+
+
+def test_pages_of_a_template_meet_by_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PREFIX_FROM", 0)
+    n = 1500
+    docs = template(n, 3)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    blocks = []
+    monkeypatch.setattr(near_dedup, "_crowded", lambda dense, *a, f=near_dedup._crowded: (blocks.append(dense.where("outside AND met").count()), f(dense, *a))[1])
+    got = {r.doc_id: r.component_id for r in near_dedup.link(df, 2).collect()}
+    true = true_components(docs, 2).tolist()
+    assert [got[i] for i in range(n)] == true and len(set(true)) < n
+    assert blocks[-1] == 0  # no node met all of its region
+    sets = [(i, bytearray(near_dedup.shingles(" ".join(w), 2).tobytes())) for i, w in enumerate(docs)]
+    dense = spark.createDataFrame([(i, 0, i, True) for i in range(n)], "id long, region long, root long, outside boolean")
+    pairs = near_dedup.rare_pairs(near_dedup.rare_shingles(dense, spark.createDataFrame(sets, "id long, set binary"), 80), 80)
+    assert pairs.count() < 0.05 * n * (n - 1) / 2
+    met = {(r.a, r.b) for r in pairs.collect()}
+    size = lambda a, b: (100 * len(set(a) & set(b)), len(set(a) | set(b)))
+    tokens = [near_dedup.shingles(" ".join(w), 2).tolist() for w in docs[:300]]
+    for a, b in itertools.combinations(range(300), 2):
+        both, either = size(tokens[a], tokens[b])
+        assert both < 80 * either or (a, b) in met
+
+
 def test_rows_that_share_an_id(spark):
     text = "a b c d e f g h i j k l m n o p q r s t"
     rows = [(1, text), (2, text), (2, "quite another text of some words"), (2, None), (3, "quite another text of some words"), (4, text + " u")]
