@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, held_out, map_rows, per_worker, save
 
-#: Labelled documents of each language that are learned from, about; most languages, the most frequent ones; rounds of learning.
-FIT_ROWS, LANGS, ROUNDS = 800, 128, 2
-#: Longest piece in characters; words that a worker keeps scored.
-PIECE, KEPT = 16, 500_000
+#: Labelled documents of each language that are learned from, about; rounds of learning.
+FIT_ROWS, ROUNDS = 800, 2
+#: Scores that a worker keeps, one for each word and language; words that it keeps at least.
+KEPT, LEAST_KEPT = 2_000_000, 10_000
 #: Probability of a character that is no piece; what is added to a piece's count.
 UNKNOWN, PRIOR = 1e-7, 0.05
 MARK = "▁"
@@ -39,13 +39,13 @@ def letters(text: str) -> list[str]:
 
 
 def pieces(path: str) -> list[str]:
-    """Pieces of a sentencepiece model that stand for text, at most PIECE characters long."""
+    """Pieces of a sentencepiece model that stand for text."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i)
     found = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not special(i)}
-    return sorted(p for p in found if 0 < len(p) <= PIECE)
+    return sorted(p for p in found if p)
 
 
 class Lattice:
@@ -53,13 +53,14 @@ class Lattice:
 
     def __init__(self, index: dict[str, int], prob: np.ndarray):
         self.index, n = index, len(index)
+        self.longest = max(map(len, index), default=1)
         self.missing, self.unknown = n, n + 1
         self.prob = np.vstack([prob, np.zeros((1, prob.shape[1])), np.full((1, prob.shape[1]), UNKNOWN)])
 
     def arcs(self, words: list[str], end: int) -> list[tuple[int, np.ndarray]]:
         """Pieces of the words that end at a place: (length, row of each word's piece)."""
         get, out = self.index.get, []
-        for n in range(1, min(end, PIECE) + 1):
+        for n in range(1, min(end, self.longest) + 1):
             other = self.unknown if n == 1 else self.missing
             ids = np.array([get(w[end - n : end], other) for w in words])
             if n == 1 or (ids != other).any():
@@ -81,12 +82,12 @@ class Lattice:
                 for n, ids in self.arcs(own, end):
                     here += sums[end - n] * self.prob[ids]
                 sums.append(here)
-                if end > PIECE:
-                    sums[end - PIECE - 1] = None
+                if end > self.longest:
+                    sums[end - self.longest - 1] = None
                 if end % 8 == 0:
                     scale = here.copy()
                     logs += np.log(scale)
-                    for k in range(max(0, end - PIECE), end + 1):
+                    for k in range(max(0, end - self.longest), end + 1):
                         sums[k] = sums[k] / scale
             out[at] = np.log(sums[-1]) + logs
         return out
@@ -123,13 +124,13 @@ class Lattice:
 def fit(docs: DataFrame, vocabulary: list[str], rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities, learned from about `rows` documents of each language, chosen by a hash of the id.
 
-    Documents that are held out, or lack text or language, are left out, as are languages beyond the LANGS most frequent ones. The
-    driver gets a row for each language, then the counts of pieces by language: their size is set by vocabulary and languages, not
-    by the documents.
+    Documents that are held out, or lack text or language, are left out. All languages that are left are learned. The driver gets a row
+    for each language, then the counts of pieces by language: their size is set by vocabulary and languages, not by the documents (the
+    model holds 8 bytes for each piece and language).
     """
     spark = docs.sparkSession
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGS).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((len(vocabulary), 0))
@@ -180,6 +181,7 @@ def fit(docs: DataFrame, vocabulary: list[str], rows: int = FIT_ROWS, doc_id: st
 class Scorer:
     def __init__(self, vocabulary: list[str], langs: list[str], prob: np.ndarray):
         self.langs, self.lattice = langs, Lattice({p: i for i, p in enumerate(vocabulary)}, prob)
+        self.kept = max(LEAST_KEPT, KEPT // max(1, len(langs)))
         self.forget()
 
     def forget(self) -> None:
@@ -187,7 +189,7 @@ class Scorer:
         self.logs = np.empty((1024, len(self.langs)))
 
     def learn(self, words: list[str]) -> None:
-        if len(self.rows) + len(words) > KEPT:
+        if len(self.rows) + len(words) > self.kept:
             self.forget()
         begin = len(self.rows)
         while begin + len(words) > len(self.logs):
@@ -200,7 +202,7 @@ class Scorer:
         bags = [Counter(letters(t.lower())) if t else Counter() for t in texts]
         seen = set().union(*bags)
         if new := [w for w in seen if w not in self.rows]:
-            self.learn(new if len(self.rows) + len(new) <= KEPT else list(seen))
+            self.learn(new if len(self.rows) + len(new) <= self.kept else list(seen))
         names, scores, likely = [], [], []
         for bag in bags:
             if not bag or not self.langs:

@@ -49,6 +49,69 @@ def test_language_id(spark):
     assert empty.collect() == [] and language_id.identify(odd.withColumn("lang", F.lit(None).cast("string")), P.path("piece_bpe_32k.model")).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_by_brute_force_of_many_languages_and_long_pieces(spark):
+    """More languages than any fixed number, a piece of 40 characters, ties, and repeated rows: predictions equal sums over segmentations."""
+    long = "x" * 40
+    index = {p: i for i, p in enumerate(sorted(["▁", "a", "b", "ab", "▁a", long, "▁" + long]))}
+    prob = np.random.default_rng(1).random((len(index), 150)) / 10
+    prob[:, 1] = prob[:, 0]  # a tie, which the first by name wins
+    names = [f"l{i:03d}" for i in range(150)]
+    scorer = language_id.Scorer(sorted(index), names, prob)
+
+    def brute(word, k):
+        word, total = language_id.MARK + word, [1.0]
+        for end in range(1, len(word) + 1):
+            total.append(sum(total[b] * (prob[index[word[b:end]], k] if word[b:end] in index else language_id.UNKNOWN if end - b == 1 else 0.0) for b in range(end)))
+        return math.log(total[-1])
+
+    texts = ["ab a b", "b b b", long + " ab", "AB, a!", "ab a b", None, "12 !", "é"]
+    got = scorer.predict(texts)
+    for t, g, s in zip(texts, *got[:2], strict=True):
+        words = language_id.letters(t.lower()) if t else []
+        total = [sum(brute(w, k) for w in words) for k in range(150)]
+        if not words:
+            assert (g, s) == ("und", 0.0)
+            continue
+        best = max(total)
+        assert g == names[next(k for k, x in enumerate(total) if x > best - 1e-9)]
+        assert s == pytest.approx(1 / sum(math.exp(x - best) for x in total))
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 13) * 3} text", f"l{i % 140:03d}") for i in range(1400)], "doc_id long, text string, lang string")
+    langs, weights = language_id.fit(docs, sorted(index))
+    assert len(langs) == 140 and weights.shape == (len(index), 140)
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows_or_on_copies(spark):
+    folder = DATA.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    three = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**6)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 2 * 10**6))
+    again = labels.unionByName(labels.withColumn("toxic", F.lit(0)))  # an id with two labels is toxic if any says so
+    for rows, known in ((docs, labels), (three, labels), (docs, again)):
+        a, b = ({r.doc_id: r.score for r in toxicity.score(x, y).collect()} for x, y in ((rows, known), (rows.orderBy(F.desc("text"), F.desc("doc_id")).repartition(7, "text"), known.orderBy(F.rand(3)))))
+        assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-9
+    first = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    assert first == {r.doc_id: r.score for r in toxicity.score(docs, again).collect()}
+
+
+def test_toxicity_features_and_scores_by_brute_force(spark):
+    rows = [(i, ("vile nasty " if i < 30 else "calm ") + " ".join(["words", "about", "skin"][: i % 4]), int(i < 30)) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    names, weights = toxicity.fit(docs, labels)
+    assert {"vile#1", "nasty#1"} <= set(names) and not any(n.startswith(("calm", "words")) for n in names)
+
+    def brute(text):
+        found = set()
+        for w in set(text.lower().split()):
+            for p in [w] + [w[:k] + "*" for k in (5, 6, 7) if len(w) > k]:
+                n = sum((v == p) if "*" not in p else (len(v) > len(p) - 1 and v.startswith(p[:-1])) for v in text.lower().split())
+                found |= {f"{p}#{k}" for k in (1, 2, 4) if n >= k}
+        z = [w[-1] + sum(w[i] for i, n in enumerate(names) if n in found) for w in weights]
+        return sum(1 / (1 + math.exp(-x)) for x in z) / len(z)
+
+    for r in toxicity.score(docs, labels).collect():
+        assert r.score == pytest.approx(brute(rows[r.doc_id][1])) and r.predicted == int(r.score >= 0.3)
+
+
 def test_toxicity(spark):
     folder = DATA.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
