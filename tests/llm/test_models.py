@@ -93,7 +93,7 @@ def test_toxicity_does_not_depend_on_the_order_of_rows_or_on_copies(spark):
 
 
 def test_toxicity_features_and_scores_by_brute_force(spark):
-    rows = [(i, ("vile nasty " if i < 30 else "calm ") + " ".join(["words", "about", "skin"][: i % 4]), int(i < 30)) for i in range(200)]
+    rows = [(i, ("vile nasty " if i < 30 else "calm ") + " ".join([*["words", "about", "skin"][: i % 4], f"n{i}"]), int(i < 30)) for i in range(200)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     names, weights = toxicity.fit(docs, labels)
