@@ -10,7 +10,8 @@ state is the bytes that can still be the beginning of a token, and for each bord
 number of tokens relative to now: a finite set, as tokens are. A transition is annotated with the change in the number of tokens.
 A new pre-token starts it anew, so the map of a chunk (to its end state and the sum of its annotations) is constant but for
 what stands before its first such place: the chunks' ends are swept at once, the heads when the state before them is known, and
-a prefix sum over the annotations gives the counts of texts. Transitions are compiled when first met.
+a prefix sum over the annotations gives the counts of texts. So the maps of the splitter compose by the scan, those of the counter at the
+beginnings of pre-tokens; within a pre-token of many chunks they are applied one after the other. Transitions are compiled when first met.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, per_worker
 
-#: Characters or bytes of a chunk; compiled transitions beyond which a worker starts anew.
-CHUNK, KEPT = 64, 700_000
+#: Characters or bytes of a chunk; compiled transitions beyond which a worker starts anew; heads up to which they are read one by one.
+CHUNK, KEPT, FEW = 64, 700_000, 8
 #: A transition is stored as next state * SHIFT + change of the count + HALF_SHIFT.
 SHIFT, HALF_SHIFT = 1024, 512
 
@@ -160,7 +161,8 @@ class Counter:
         """State 0 is the start: nothing read. Of a state: its bytes, and the last token and relative count at each border."""
         self.states: list[tuple[bytes, tuple[bytes, ...], tuple[int, ...]]] = [(b"", (b"",), (0,))]
         self.number = {self.states[0]: 0}
-        self.keys, self.go, self.known = np.full(1 << 12, -1, np.int64), np.zeros(1 << 12, np.int32), 0
+        self.keys, self.go, self.known = np.full(1 << 12, -1, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.walked: dict[int, int] = {}
         self.fits.clear()
 
     def spine(self, token: bytes, side: int) -> list[tuple[bytes, float]]:
@@ -249,17 +251,29 @@ class Counter:
         new = np.flatnonzero(self.keys[at] < 0)
         if len(new):
             found = np.unique(keys[new])
-            values = np.array([self.compile(pair >> 8, pair & 255) for pair in found.tolist()], np.int32)
+            values = np.array([self.compile(pair >> 8, pair & 255) for pair in found.tolist()], np.int64)
             self.known += len(found)
             if 2 * self.known > len(self.keys):
                 old, went = self.keys[self.keys >= 0], self.go[self.keys >= 0]
                 self.keys = np.full(1 << int(4 * self.known).bit_length(), -1, np.int64)
-                self.go = np.zeros(len(self.keys), np.int32)
+                self.go = np.zeros(len(self.keys), np.int64)
                 self.add(old, went)
             self.add(found, values)
             at = self.slots(keys)
         return self.go[at]
 
+    def walk(self, state: int, data: list[int]) -> tuple[int, list[int]]:
+        """End state and changes of the count along bytes, one after the other: what a long pre-token needs, whose chunks wait for each other."""
+        get, out = self.walked.get, []
+        for byte in data:
+            key = state << 8 | byte
+            found = get(key)
+            if found is None:
+                found = self.walked[key] = int(self.step(np.array([state]), np.array([byte]))[0])
+            state, change = divmod(found, SHIFT)
+            out.append(change - HALF_SHIFT)
+        return state, out
+
     def changes(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Change of the count at each byte; starts: the bytes that begin a pre-token, the first one among them."""
         n = len(raw)
@@ -270,7 +284,7 @@ class Counter:
         first = np.where(begins.reshape(rows, CHUNK).any(axis=1), begins.reshape(rows, CHUNK).argmax(axis=1), CHUNK)
         grid, begins = np.ascontiguousarray(grid.reshape(rows, CHUNK).T), np.ascontiguousarray(begins.reshape(rows, CHUNK).T)
         out = np.zeros((CHUNK, rows), np.int16)
-        end = np.zeros(rows, np.int32)
+        end = np.zeros(rows, np.int64)
         known = np.flatnonzero(first < CHUNK)
         # from the first start of each chunk on: the constant part of its map
         order = known[np.argsort(first[known], kind="stable")]
@@ -290,7 +304,12 @@ class Counter:
         level = np.where(whole, depth, np.where(np.append(False, whole[:-1]), np.append(0, depth[:-1]) + 1, 0))
         wait = wait[np.argsort(level[wait], kind="stable")]
         for group in np.split(wait, np.flatnonzero(np.diff(level[wait])) + 1):
-            if not len(group):
+            if len(group) <= FEW:
+                for r in group.tolist():
+                    m = int(first[r])
+                    state, out[:m, r] = self.walk(int(end[r - 1]), grid[:m, r].tolist())
+                    if m == CHUNK:
+                        end[r] = state
                 continue
             state = end[group - 1]
             group, state = group[np.argsort(-first[group], kind="stable")], state[np.argsort(-first[group], kind="stable")]

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -137,3 +138,18 @@ def test_images():
 def test_tag_after_a_character_that_is_not_ascii(before):
     labels = license_scan.Scanner().row(f"{before}SPDX-License-Identifier: MIT")[5]
     assert labels == "permissive,spdx:mit"
+
+
+def test_long_pre_tokens_equal_the_library():
+    """One letter, random letters of four, and a long text of one script without blanks: many chunks that wait for each other."""
+    path = P.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    merges, vocab, _ = token_counts.read_tokenizer(path)
+    machine = token_counts.Machine(merges, vocab, token_counts.classes(own.pre_tokenizer))
+    rng = random.Random(2)
+    texts = ["a" * 1_000_000, "".join(rng.choices("acgt", k=20_000)), "日本語" * 5_000, "ab" * 3_000 + " x " + "z" * 5_000]
+    began = time.perf_counter()
+    assert machine.count(texts[:1]).tolist() == [len(own.encode(texts[0], add_special_tokens=False).ids)]
+    assert time.perf_counter() - began < 20
+    assert machine.count(texts[1:]).tolist() == [len(own.encode(t, add_special_tokens=False).ids) for t in texts[1:]]
