@@ -177,6 +177,11 @@ def title_key(title: Column | str, n: int = 60) -> Column:
     return F.substring(F.lower(title), 1, n)
 
 
+def patient_key(lesion: Column | str, image: Column | str) -> Column:
+    """The lesion id, or the image where there is none, so unknown patients stay apart."""
+    return F.coalesce(F.nullif(col(lesion), F.lit("")), col(image))
+
+
 def intent(question: Column | str, data, knowledge) -> Column:
     return F.when(keyword_hits(question, data) >= keyword_hits(question, knowledge), "data").otherwise("knowledge")
 

@@ -46,7 +46,7 @@ def normalise_onehot(df: DataFrame, mapping: dict, dataset: str, source: str, cl
     out = df.withColumn("label", C.remap(C.onehot_label(names), mapping))
     if metadata is not None:
         out = out.join(metadata.select(*(c for c in metadata.columns if c == "image" or c not in out.columns)), "image", "left")
-    patient = F.coalesce(F.nullif(F.col("lesion_id"), F.lit("")), F.col("image")) if "lesion_id" in out.columns else F.col("image")
+    patient = C.patient_key("lesion_id", "image") if "lesion_id" in out.columns else F.col("image")
     out = out.withColumns({"image_id": F.col("image"), "image_path": F.concat("image", F.lit(".jpg")), "patient_id": patient, "dataset": F.lit(dataset), "source": F.lit(source)})
     return align(with_class(normalise_names(out.drop("image")), classes))
 
@@ -88,13 +88,14 @@ def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
 def group_split(df: DataFrame, key: str, share: float = 0.2, seed: int = 42, exact: bool = False) -> DataFrame:
     """Adds split: `val` for a share of the groups, else `train`; a group is never in both.
 
-    By a hash of the key alone, without a shuffle. exact: ceil(share * groups) groups, those of the smallest hashes, found by a
-    histogram of hash buckets and a cut within one of them.
+    By a hash of the key alone, without a shuffle. exact: ceil(share * groups) groups, those whose keys have the smallest md5 with the seed,
+    found by a histogram of hash buckets and a cut within one of them.
     """
-    h = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed))
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     if not exact:
-        return df.withColumn("split", F.when(F.pmod(h, F.lit(10_000)) < int(share * 10_000), "val").otherwise("train"))
-    groups = df.select(F.col(key).alias("_k"), h.alias("_h")).distinct().withColumn("_b", F.shiftrightunsigned("_h", 48))
+        return df.withColumn("split", F.when(F.pmod(F.xxhash64(name, F.lit(seed)), F.lit(10_000)) < int(share * 10_000), "val").otherwise("train"))
+    h = F.substring(F.md5(F.concat(name, F.lit(f"|{seed}"))), 1, 15)
+    groups = df.select(F.col(key).alias("_k"), h.alias("_h")).distinct().withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
     sizes = groups.groupBy("_b").count().orderBy("_b").collect()  # at most 65536 buckets
     left, cut = math.ceil(share * sum(r[1] for r in sizes)), 0
     for cut, n in sizes:

@@ -461,7 +461,9 @@ def leaks_of_a_row_split(spark, d):
     return curate.leaks(rows, "o_custkey")
 
 
-@query()
+@query("""WITH g AS (SELECT DISTINCT o_custkey FROM orders), r AS (SELECT o_custkey, row_number() OVER (ORDER BY substr(md5(concat(o_custkey, '|42')), 1, 15), o_custkey) AS nth, count(*) OVER () AS n FROM g),
+s AS (SELECT o_orderstatus, CASE WHEN nth <= ceil(0.2::DOUBLE * n) THEN 'val' ELSE 'train' END AS split FROM orders JOIN r USING (o_custkey))
+SELECT o_orderstatus, split, count(*) AS n FROM s GROUP BY GROUPING SETS ((o_orderstatus, split), (o_orderstatus))""")
 def split_counts(spark, d):
     rows = curate.group_split(V.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", exact=True)
     return curate.distribution(rows, "o_orderstatus", "split")
@@ -955,15 +957,14 @@ def ingest_scan(spark, d):
 def patient_keys(spark, d):
     """Patient and lesion keys; a missing lesion falls back to the image."""
     docs = V.table(spark, d, "documents").where(F.col("lang").isNotNull())
-    lesion = F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("les-"), F.floor(F.col("doc_id") / 3).cast("string")))
-    return docs.select("doc_id", F.concat_ws("/", F.concat(F.lit("doc-"), "doc_id"), "lang").alias("patient_id"), F.coalesce(lesion, F.concat(F.lit("img-"), "doc_id")).alias("lesion"))
+    lesion = F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("les-"), F.floor(F.col("doc_id") / 3).cast("string"))).otherwise("")
+    return docs.select("doc_id", F.concat_ws("/", F.concat(F.lit("doc-"), "doc_id"), "lang").alias("patient_id"), C.patient_key(lesion, F.concat(F.lit("img-"), "doc_id")).alias("lesion"))
 
 
 @query(f"WITH {V.RECORDS} SELECT image_id, sex, site FROM people")
 def demographics_join(spark, d):
-    """Demographics joined back by image id, in place of those of the records."""
-    people = V.records(spark, d, site=True)
-    return fairness.with_demographics(people.drop("sex", "site"), people.select("image_id", "sex", "site")).select("image_id", "sex", "site")
+    """Demographics, of a table of their own, joined by image id to records that have none."""
+    return fairness.with_demographics(V.records(spark, d).drop("sex"), V.demographics(spark, d)).select("image_id", "sex", "site")
 
 
 @query("""SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS human_label FROM orders GROUP BY o_custkey""")

@@ -39,11 +39,21 @@ def records(spark: SparkSession, sf_dir: str, age: bool = False, site: bool = Fa
     if age:
         out = out.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 2).cast("double").alias("age")), "l_partkey")
     if site:
-        where = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        out = out.join(where.select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("site")), "l_suppkey")
+        out = out.join(sites(spark, sf_dir), "l_suppkey")
     return qa.annotate(out)
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier and site."""
+    where = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return where.select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("site"))
+
+
+def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, sex and site, without predictions."""
+    return raw_records(spark, sf_dir).join(sites(spark, sf_dir), "l_suppkey").select("image_id", "sex", "site")
+
+
 def scans(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events, from the table or a stream of it, as a scan log."""
     kind = F.col("event_type")
