@@ -133,7 +133,8 @@ class Words:
         """(k, places, first hashes, known, new) for each length, of the places whose phrase a filter proposes or has in its negative border.
 
         known: the last filter proposes it. new: it is in reach of the last filter, and was not of an earlier one. With earlier
-        filters what is new counts as proposed; beyond closed_to all in the border does.
+        filters what is new counts as proposed; beyond closed_to all in the border does. A filter proposes what an earlier one does, its
+        false positives too: these were no failures, and phrases around one of them and a failure are only in reach by both.
         """
         at, h = np.flatnonzero(self.word), None
         proposed = [np.zeros(len(self.code) + 1, bool) for _ in filters]  # the phrases of the last length, by their first place
@@ -148,7 +149,10 @@ class Words:
             new = reach[-1].copy()
             for r in reach[:-1]:
                 new &= ~r
-            known = [r if k > closed_to else r & f.has(h) for r, f in zip(reach, filters, strict=False)]
+            known, has = [], np.zeros(len(h), bool)
+            for r, f in zip(reach, filters, strict=False):
+                has = has | f.has(h)
+                known.append(r if k > closed_to else r & has)
             yield k, at, h, known[-1] if known else new, new
             for i, now in enumerate(known):
                 proposed[i][:] = False

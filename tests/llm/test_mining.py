@@ -71,6 +71,21 @@ def test_border_failures_are_counted_and_any_filter_is_exact(spark, monkeypatch,
     assert done["failures"][-1] == 0 and (bits == 6 or block == 64 or done["failures"][0] > 0) and (done["shared"] > 0) == (bits == 6)
 
 
+def test_a_false_positive_and_a_failure_side_by_side_are_in_reach():
+    """The first filter has one word by chance, so it is no failure and not proposed again; the second one has the other, which failed."""
+
+    def filter_of(word):
+        out = collocations.Bloom(1, [])
+        for i in range(collocations.SET_BITS):
+            at = int(collocations.Words("en", word).first[0]) >> 16 * i & 0xFFFF
+            out.bits[0, at >> 3] |= 1 << (at & 7)
+        return out
+
+    words = collocations.Words("en", b"by chance")
+    new = {k: at[new].tolist() for k, at, _, _, new in words.phrases([filter_of(b"by"), filter_of(b"chance")])}
+    assert new[1] == [] and new[2] == [0]
+
+
 def test_long_texts_are_cut_where_pieces_end(monkeypatch):
     monkeypatch.setattr(collocations, "CHUNK", 50)
     rows = [("en", "one two three four five. " * 40), ("en", "no end of piece " * 30), ("de", "x")]
