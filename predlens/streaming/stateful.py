@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,12 +12,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _by_state(stream: DataFrame, key: str, time: str, late: str, function, output: str, state: str) -> DataFrame:
-    rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    return rows.groupBy(key).applyInPandasWithState(function, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+    """The function gets times as microseconds in _us and gives them so, as pandas has no timestamps after 2262. The watermark and
+    timeouts go by a clock a thousand times slower, _clock, on which any time fits; so they are whole seconds of the true times."""
+    rows = stream.withColumn("_us", F.unix_micros(F.col(time).cast("timestamp"))).drop(time)
+    rows = rows.withColumn("_clock", F.timestamp_micros(F.expr("(_us - pmod(_us, 1000)) div 1000")))
+    rows = rows.withWatermark("_clock", f"{math.ceil(pd.Timedelta(late).total_seconds())} milliseconds")
+    out = rows.groupBy(key).applyInPandasWithState(function, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("_us", F.timestamp_micros("_us")).withColumnRenamed("_us", time)
 
 
-def _millis(t: pd.Timestamp) -> int:
-    return t.value // 1_000_000
+def _micros(length: str) -> int:
+    return int(pd.Timedelta(length).total_seconds() * 1_000_000)
+
+
+def _time_out(state: GroupState, us: int) -> None:
+    """When the watermark has passed this time."""
+    state.setTimeoutTimestamp(max(-(-us // 1_000_000), state.getCurrentWatermarkMs() + 1))
 
 
 def severity_changes(reports: DataFrame, key: str, time: str = "ts", severity: str = "severity", late: str = "1 day", forget: str = "400 days", calm: str = "OK") -> DataFrame:
@@ -27,7 +38,7 @@ def severity_changes(reports: DataFrame, key: str, time: str = "ts", severity: s
     key come in the order of their times: what a micro-batch holds is sorted, and a report that is older than the last one
     is left out, as it is no news. Reports without a key or time go, and those that come after the watermark are dropped by the engine.
     """
-    keep = int(pd.Timedelta(forget).total_seconds() * 1000)
+    keep = _micros(forget)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -35,21 +46,21 @@ def severity_changes(reports: DataFrame, key: str, time: str = "ts", severity: s
             return
         last, at = state.get if state.exists else (calm, -(2**62))
         out = []
-        for t, now in sorted((r for b in batches for r in zip(b[time], b[severity], strict=True) if pd.notna(r[1])), key=lambda r: (r[0], r[1])):
-            if _millis(t) < at:
+        for us, now in sorted((r for b in batches for r in zip(b["_us"].tolist(), b[severity], strict=True) if pd.notna(r[1])), key=lambda r: (r[0], r[1])):
+            if us < at:
                 continue
             if now != last:
-                out.append((k[0], t, last, now))
-            last, at = now, _millis(t)
+                out.append((k[0], us, last, now))
+            last, at = now, us
         if at > -(2**62):
             state.update((last, at))
-            state.setTimeoutTimestamp(max(at + keep, state.getCurrentWatermarkMs() + 1))
+            _time_out(state, at + keep)
         if out:
-            yield pd.DataFrame(out, columns=[key, time, "previous", severity])
+            yield pd.DataFrame(out, columns=[key, "_us", "previous", severity])
 
     rows = reports.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, severity)
     kind = rows.schema[key].dataType.simpleString()
-    return _by_state(rows, key, time, late, step, f"`{key}` {kind}, `{time}` timestamp, previous string, `{severity}` string", "last string, at long")
+    return _by_state(rows, key, time, late, step, f"`{key}` {kind}, _us long, previous string, `{severity}` string", "last string, at long")
 
 
 def unseen_content(stream: DataFrame, digest: str = "md5", name: str = "path", time: str = "ts", live: str = "7 days", late: str = "1 day") -> DataFrame:
@@ -59,23 +70,22 @@ def unseen_content(stream: DataFrame, digest: str = "md5", name: str = "path", t
     lately and no more. Of rows of one micro-batch with equal times the first by name counts. Rows without digest or time go, and those that come after
     the watermark are dropped by the engine.
     """
-    keep = int(pd.Timedelta(live).total_seconds() * 1000)
+    keep = _micros(live)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last, out = state.get[0] if state.exists else None, []
-        for t, who in sorted((r for b in batches for r in zip(b[time], b[name], strict=True)), key=lambda r: (r[0], str(r[1]))):
-            at = _millis(t)
-            if last is None or at - last >= keep:
-                out.append((k[0], who, t))
-            last = at if last is None else max(last, at)
+        for us, who in sorted((r for b in batches for r in zip(b["_us"].tolist(), b[name], strict=True)), key=lambda r: (r[0], str(r[1]))):
+            if last is None or us - last >= keep:
+                out.append((k[0], who, us))
+            last = us if last is None else max(last, us)
         state.update((last,))
-        state.setTimeoutTimestamp(max(last + keep, state.getCurrentWatermarkMs() + 1))
+        _time_out(state, last + keep)
         if out:
-            yield pd.DataFrame(out, columns=[digest, name, time])
+            yield pd.DataFrame(out, columns=[digest, name, "_us"])
 
     rows = stream.where(F.col(digest).isNotNull() & F.col(time).isNotNull()).select(digest, name, time)
     kind = rows.schema[name].dataType.simpleString()
-    return _by_state(rows, digest, time, late, step, f"`{digest}` string, `{name}` {kind}, `{time}` timestamp", "at long")
+    return _by_state(rows, digest, time, late, step, f"`{digest}` string, `{name}` {kind}, _us long", "at long")

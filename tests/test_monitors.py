@@ -174,6 +174,17 @@ def test_unseen_content_with_a_time_to_live(spark):
     assert sorted(r.path for r in out.collect()) == ["1", "3", "6", "7", "8"]
 
 
+def test_state_keeps_times_that_pandas_does_not(spark):
+    """Pandas ends in 2262; microseconds count too."""
+    frame = lambda *rows: spark.createDataFrame(rows, "md5 string, path string, ts timestamp, severity string")
+    t, live = datetime(2700, 3, 1, 12), timedelta(days=7)
+    turns = [frame(("x", "1", t, "OK"), ("y", "2", datetime(1980, 1, 1), "HIGH")), frame(("x", "3", t + live - timedelta(microseconds=1), "HIGH")), frame(("x", "4", t + 2 * live, "HIGH"), ("x", "5", t + 3 * live, "OK"))]
+    unseen = in_turns(turns, lambda s: stateful.unseen_content(s, live="7 days"))
+    assert sorted((r.path, r.ts) for r in unseen.collect()) == [("1", t), ("2", datetime(1980, 1, 1)), ("4", t + 2 * live), ("5", t + 3 * live)]
+    changes = in_turns(turns, lambda s: stateful.severity_changes(s, "md5"))
+    assert sorted((r.md5, r.ts, r.severity) for r in changes.collect()) == [("x", t + live - timedelta(microseconds=1), "HIGH"), ("x", t + 3 * live, "OK"), ("y", datetime(1980, 1, 1), "HIGH")]
+
+
 def test_turns_are_written_exactly_once(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(3), rng.choice(CLASSES), rng.random() * 10 if i % 9 else None) for i in range(120)]
