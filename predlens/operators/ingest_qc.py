@@ -6,13 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import DEFAULT, Config
 from ..functions import columns as C
-from ..sources.io import shared_dir
+from ..sources.io import decoded_images, image_files, shared_dir
+
+#: Folders that are listed and read at once, and what opening a file counts as, in bytes: small files then share a task.
+FOLDERS_AT_ONCE, OPEN_COST = 64, 1 << 16
+FACTS = "path string, md5 string, height int, width int, saturation double, brightness double"
 
 
 @F.pandas_udf(StructType([StructField("saturation", DoubleType()), StructField("brightness", DoubleType())]))
@@ -96,10 +100,31 @@ def scan(files: DataFrame, images: DataFrame, cfg: Config = DEFAULT) -> DataFram
     """
     rows, path = facts(files, images), shared_dir(files.sparkSession)
     rows.write.parquet(path)
-    rows = files.sparkSession.read.schema(rows.schema).parquet(path)
+    return checked(files.sparkSession.read.schema(rows.schema).parquet(path), cfg)
+
+
+def checked(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The checks, by a table of facts."""
     return issues(rename_plan(duplicates(rows)), cfg).select("path", "height", "width", "issues", "action", "rename_to")
 
 
+def facts_of_folders(spark: SparkSession, folders: list[str], at_once: int = FOLDERS_AT_ONCE) -> DataFrame:
+    """The table of facts of all image files in these folders, none of which holds another. Some folders at a time are listed and read, so
+    the driver holds the names of their files and no more, however many there are in all."""
+    path, key = shared_dir(spark), "spark.sql.files.openCostInBytes"
+    spark.createDataFrame([], FACTS).write.parquet(path)
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(OPEN_COST))
+    try:
+        for i in range(0, len(folders), at_once):
+            some = folders[i : i + at_once]
+            rows = facts(image_files(spark, some), decoded_images(spark, some))
+            rows.write.mode("append").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(FACTS).parquet(path)
+
+
 def ready(records: DataFrame, checked: DataFrame, path: str = "path") -> DataFrame:
     """Records whose file the plan would not remove."""
     gone = checked.where(F.col("action").isin("remove", "remove_duplicate")).select(F.col("path").alias(path))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import columns as C
 from ..functions import stats
 from ..operators import active, curate, drift, fairness, hypothesis, ingest_qc, papers, questions, sketches, temporal
 from ..sources import io, papers_xml
@@ -304,6 +305,10 @@ def _bytes(n, count: int):
     return F.concat(*(F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(count)))
 
 
+#: Files of a folder, more or less, and tasks that write them.
+FILES_A_FOLDER, WRITERS = 1000, 512
+
+
 def bitmap(height, width: int, pixel):
     """A bitmap file of one colour: height, width (a multiple of four) and the pixel as six hexadecimal digits, blue first."""
     size, number = height * F.lit(3 * width), lambda x: _bytes(F.lit(x), 4)
@@ -321,12 +326,14 @@ CASE WHEN hi < 20 THEN 'ood:near_black' END, CASE WHEN hi > 250 THEN 'ood:near_w
 SELECT path, CAST(height AS INTEGER) AS height, CASE WHEN height < 0 THEN -1 ELSE 40 END AS width, issues, CASE WHEN issues = '' THEN 'clean' WHEN height < 0 THEN 'remove' WHEN dup IS NOT NULL THEN 'remove_duplicate' ELSE 'flag' END AS action, rename_to FROM i""")
 def ingest_files(spark, d):
     """Parts as image files, written, found by their suffix, read, decoded and checked; some are no images, some are copies, and some have
-    names to clean."""
-    path, p = io.shared_dir(spark), F.col("p_partkey")
+    names to clean. The files are spread over folders of about a thousand, by clean name, and count as those of one folder."""
+    path, p, parts = io.shared_dir(spark), F.col("p_partkey"), V.table(spark, d, "part")
+    n = parts.count() // FILES_A_FOLDER + 1
     name = F.concat(F.when(p % 2 == 0, "img_").when(p % 3 == 0, "Only ").otherwise("Img "), F.floor(p / 2).cast("string"), F.lit(".png"))
     pixel = F.concat(*(F.lpad(F.hex(p * k % 256), 2, "0") for k in (1, 7, 13)))
     image = F.when(p % 17 == 0, F.concat(F.lit("no image "), p.cast("string")).cast("binary")).otherwise(bitmap(F.col("p_size").cast("int") + 20, 40, pixel))
-    io.write_files(V.table(spark, d, "part").select(name.alias("name"), image.alias("content")), path)
-    out = ingest_qc.scan(io.image_files(spark, path), io.decoded_images(spark, path))
-    inside = lambda c: F.regexp_replace(c, r"(file:)?/[^:;]*/(?=[^/;]*\.png)", "/in/")
-    return out.select(inside("path").alias("path"), "height", "width", inside(F.concat_ws(";", "issues")).alias("issues"), "action", inside("rename_to").alias("rename_to"))
+    rows = parts.withColumn("folder", F.pmod(F.xxhash64(C.clean_name(name)), F.lit(n))).repartition(min(n, WRITERS), "folder")
+    io.write_files(rows.select(F.concat(F.col("folder").cast("string"), F.lit("/"), name).alias("name"), image.alias("content")), path)
+    facts = ingest_qc.facts_of_folders(spark, [f"{path}/{i}" for i in sorted(r[0] for r in rows.select("folder").distinct().collect())])
+    out = ingest_qc.checked(facts.withColumn("path", F.regexp_replace("path", "^.*/", "/in/")))
+    return out.withColumn("issues", F.concat_ws(";", "issues"))

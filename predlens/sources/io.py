@@ -68,30 +68,35 @@ def versioned_csv(spark: SparkSession, paths: list[str], schema: str) -> DataFra
     return spark.read.schema(schema).csv(found, header=True)
 
 
-def image_files(spark: SparkSession, path: str, suffixes=IMAGE_SUFFIXES) -> DataFrame:
-    """Files with the suffixes at any depth: path, modificationTime, length, content (read only if selected)."""
+def image_files(spark: SparkSession, path: str | list[str], suffixes=IMAGE_SUFFIXES) -> DataFrame:
+    """Files with the suffixes at any depth of a folder or of several: path, modificationTime, length, content (read only if selected). The
+    driver lists them all."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.where(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
 
 
 def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
-    """One file for each row, with the row's name and bytes, and their number. Tasks write through Arrow's file systems, to the folder's
-    own store; a task that runs again writes the same files."""
+    """One file for each row, with the row's name and bytes, and their number. A name may begin with a folder below the given one. Tasks
+    write through Arrow's file systems, to the folder's own store; a task that runs again writes the same files."""
     target = folder if "://" in folder else "file://" + folder.removeprefix("file:")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(target)
-        store.create_dir(base, recursive=True)
+        made = set()
         for batch in batches:
             for n, c in zip(*batch.columns, strict=True):
-                with store.open_output_stream(f"{base}/{n.as_py()}") as out:
+                file = f"{base}/{n.as_py()}"
+                if (parent := file.rsplit("/", 1)[0]) not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with store.open_output_stream(file) as out:
                     out.write(c.as_py())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     return rows.select(name, content).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def decoded_images(spark: SparkSession, path: str) -> DataFrame:
+def decoded_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, height, width, channels and pixel bytes (blue first); height -1 for a file that can't be decoded."""
     # the origin is a URI, a listed path is not
     origin = F.url_decode(F.replace(F.regexp_replace("image.origin", "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
