@@ -260,8 +260,9 @@ def optional_csv_scan(spark, d):
 
 def _pipeline(spark, d, log: str | None = None) -> dict[str, DataFrame]:
     """The tables of the QA pipeline, all written by now, over all records."""
-    out = pipeline.run(V.records(spark, d, age=True, site=True), log)
-    out.pop("records").unpersist()
+    records = V.records(spark, d, age=True, site=True)
+    out = pipeline.run(records.select("image_id", "batch_id", "probs", "pred_class", "human_label", "confidence_score", "mel_prob", "flag", "sex", "age", "site"), log)
+    out.pop("records")
     return out
 
 

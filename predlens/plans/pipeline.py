@@ -1,4 +1,4 @@
-"""The QA pipeline: ordered stages over one persisted table of records, with a run log."""
+"""The QA pipeline: ordered stages over one written table of records, with a run log."""
 
 from __future__ import annotations
 
@@ -26,14 +26,19 @@ def next_run(spark: SparkSession, name: str, log: str) -> int:
     return n
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read from there."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_stage(spark: SparkSession, name: str, stage: Stage, tables: dict[str, DataFrame], log: str | None = None) -> DataFrame | None:
     """Executes a stage: its rows are written to the shared folder and read back. Then appends a line to the run log, whether it
     succeeded or not, and gives its table, or None after an error."""
     out, status, error, began = None, "success", None, time.time()
     try:
-        done, path = stage(tables), shared_dir(spark)
-        done.write.parquet(path)
-        out = spark.read.schema(done.schema).parquet(path)
+        out = written(stage(tables))
     except Exception as e:
         status, error = "error", str(e)[:500]
     if log:
@@ -61,14 +66,14 @@ def stages(cfg: Config = DEFAULT, tests: list[tuple[str, str]] | None = None, wi
 
 def run(records: DataFrame, log: str | None = None, files: DataFrame | None = None, cfg: Config = DEFAULT, plan: dict[str, Stage] | None = None, extra: dict[str, DataFrame] | None = None) -> dict[str, DataFrame | None]:
     """Tables of all stages. With checked files, records whose file would be removed are left out, and nothing runs if no file is
-    ready. The records are persisted for the branches; unpersist result["records"] when done."""
+    ready. The records are written once for the branches, each of which reads its own columns of them, in splits of any number."""
     spark, out = records.sparkSession, {}
     if files is not None:
         out["ingest"] = ingest_qc.report(files)
         if out["ingest"].first()["ready_count"] == 0:
             return out
         records = ingest_qc.ready(records, files)
-    records = records.persist()
+    records = written(records)
     tables = {"records": records, **(extra or {})}
     out["records"] = records
     for name, stage in (plan or stages(cfg)).items():

@@ -32,14 +32,17 @@ def raw_records(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = N
 
 
 def records(spark: SparkSession, sf_dir: str, age: bool = False, site: bool = False, lineitem: DataFrame | None = None) -> DataFrame:
-    """Prediction records with labels and flags; age and site on request, by joins with small dimensions."""
+    """Prediction records with labels and flags; age and site on request, by joins with dimensions. They are joined to the narrow rows,
+    before predictions make them wide."""
+    if age or site:
+        lineitem = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
+    if age:
+        lineitem = lineitem.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 2).cast("double").alias("age")), "l_partkey")
+    if site:
+        lineitem = lineitem.join(sites(spark, sf_dir), "l_suppkey")
     out = score.predict(raw_records(spark, sf_dir, lineitem), temperature=DEFAULT.temperature)
     own = (F.col("l_partkey") * 3 + F.col("l_suppkey") + F.col("l_linenumber")) % 10 < 7
     out = out.withColumn("human_label", F.when(own, F.col("pred_class")).otherwise(F.get(C.strings(CLASSES), (F.col("l_partkey") % 7).cast("int"))))
-    if age:
-        out = out.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 2).cast("double").alias("age")), "l_partkey")
-    if site:
-        out = out.join(sites(spark, sf_dir), "l_suppkey")
     return qa.annotate(out)
 
 

@@ -12,7 +12,7 @@ from predlens.config import CLASSES, DIAGNOSES, HYPOTHESES, ONEHOT_8
 from predlens.functions import columns as C
 from predlens.functions import stats
 from predlens.operators import active, calibrate, curate, drift, fairness, hypothesis, ingest_qc, papers, qa, questions, score
-from predlens.plans import pipeline
+from predlens.plans import pipeline, records
 from predlens.sources import io
 
 
@@ -186,6 +186,16 @@ def test_questions(spark):
         questions.answer("Q11", {})
 
 
+def test_pipeline_reads_narrow_written_records(spark):
+    """Stages read files in splits, not cached partitions as wide and long as the source's; demographics join rows without predictions."""
+    df = probs_frame(spark, [(str(i), spread(0.5 + i / 100, 0.1), "mel") for i in range(12)]).withColumns({"batch_id": F.lit(1), "sex": F.lit("f"), "age": F.lit(50.0), "site": F.lit("x")})
+    out = pipeline.run(qa.annotate(df), plan={"calibration": pipeline.stages()["calibration"]})
+    plan = out["records"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "parquet" in plan and out["records"].count() == 12
+    joined = records.records(spark, "/root/testdata/sf0.001", age=True, site=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.index("confidence_score") < joined.index("Join") and "confidence_score" not in joined[joined.index("Join") :]
+
+
 def test_pipeline_logs_and_stops(spark, tmp_path):
     df = probs_frame(spark, [(str(i), spread(0.5 + i / 100, 0.1), "mel") for i in range(12)]).withColumns({"batch_id": F.lit(1), "sex": F.lit("f"), "age": F.lit(50.0), "site": F.lit("x"), "path": F.concat(F.lit("/"), "image_id")})
     log = str(tmp_path / "log")
