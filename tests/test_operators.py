@@ -12,7 +12,7 @@ from predlens.config import CLASSES, DIAGNOSES, HYPOTHESES, ONEHOT_8
 from predlens.functions import columns as C
 from predlens.functions import stats
 from predlens.operators import active, calibrate, curate, drift, fairness, hypothesis, ingest_qc, papers, qa, questions, score
-from predlens.plans import pipeline, records
+from predlens.plans import pipeline, queries, records
 from predlens.sources import io
 
 
@@ -258,3 +258,9 @@ def test_one_scan_of_records_for_all_tests(spark):
     assert plan.count("LogicalRDD") == 1 and "Python" not in plan
     scored = score.score_batch(df.withColumn("x", F.col("probs")), lambda: (lambda x: x), ["x"], shapes=[[7]])
     assert scored._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_the_filter_on_bins_stays_above_what_computes_them(spark):
+    plan = queries.reliability_bins(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate") :]
+    assert "0.30000000000000004" in plan and "0.30000000000000004" not in below and plan.count("round((array_max") <= 3
