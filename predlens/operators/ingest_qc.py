@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ def pixel_means(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.D
             if raw is None or not c or c < 1:
                 out.append((None, None))
                 continue
-            px = np.frombuffer(raw, np.uint8).reshape(-1, c)[:, : min(c, 3)].astype(np.float64)
-            top, low = px.max(axis=1), px.min(axis=1)
+            px = np.frombuffer(raw, np.uint8).reshape(-1, c)[:, : min(c, 3)].T
+            top, low = (reduce(f, px).astype(np.float64) for f in (np.maximum, np.minimum))  # by channel: along rows of three it is much slower
             out.append((float(np.where(top > 0, (top - low) / np.maximum(top, 1) * 255, 0).mean()), float(top.mean())))
         yield pd.DataFrame(out, columns=["saturation", "brightness"], dtype="float64")
 

@@ -933,6 +933,10 @@ def curation_chain(spark, d):
     return curate.merge([one, curate.normalise_binary(binary, config.DIAGNOSES, "D3", "binary", _UPPER)])
 
 
+#: Images of a task, more or less.
+ROWS_A_TASK = 10_000
+
+
 @query("""WITH img AS (SELECT concat('/in/', CASE WHEN p_partkey % 2 = 0 THEN 'img_' WHEN p_partkey % 3 = 0 THEN 'Only ' ELSE 'Img ' END, p_partkey // 2, '.png') AS path, p_partkey % 150 AS content,
 CASE WHEN p_partkey % 17 = 0 THEN -1 ELSE 20 + p_size END AS height, greatest(p_partkey % 256, p_partkey * 7 % 256, p_partkey * 13 % 256) AS hi, least(p_partkey % 256, p_partkey * 7 % 256, p_partkey * 13 % 256) AS lo FROM part),
 f AS (SELECT content, min(path) AS first FROM img WHERE height >= 0 GROUP BY content),
@@ -947,7 +951,9 @@ def ingest_scan(spark, d):
     name = F.concat(F.when(p % 2 == 0, "img_").when(p % 3 == 0, "Only ").otherwise("Img "), F.floor(p / 2).cast("string"), F.lit(".png"))
     good, height = p % 17 != 0, F.col("p_size").cast("int") + 20
     pixel = F.concat(*(F.lpad(F.hex(p * k % 256), 2, "0") for k in (1, 7, 13)))
-    rows = V.table(spark, d, "part").withColumn("path", F.concat(F.lit("/in/"), name))
+    parts = V.table(spark, d, "part").withColumn("path", F.concat(F.lit("/in/"), name))
+    # the table is small beside the pixels that its rows become, so its own splits would be few
+    rows = parts.repartition(parts.count() // ROWS_A_TASK + 1, "path")
     files = rows.select("path", (p % 150).cast("string").cast("binary").alias("content"))
     images = rows.select("path", F.when(good, height).otherwise(-1).alias("height"), F.lit(40).alias("width"), F.lit(3).alias("channels"), F.when(good, F.unhex(F.repeat(pixel, height * 40))).alias("data"))
     return ingest_qc.scan(files, images).withColumn("issues", F.concat_ws(";", "issues"))

@@ -264,3 +264,19 @@ def test_the_filter_on_bins_stays_above_what_computes_them(spark):
     plan = queries.reliability_bins(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Generate") :]
     assert "0.30000000000000004" in plan and "0.30000000000000004" not in below and plan.count("round((array_max") <= 3
+
+
+def test_images_of_a_small_table_are_dealt_to_many_tasks(spark, monkeypatch):
+    seen, scan = [], ingest_qc.scan
+    monkeypatch.setattr(queries, "ROWS_A_TASK", 20)
+    monkeypatch.setattr(ingest_qc, "scan", lambda files, images: seen.append(images) or scan(files, images))
+    queries.ingest_scan(spark, "/root/testdata/sf0.001")
+    assert seen[0].rdd.getNumPartitions() == seen[0].count() // 20 + 1 > 1
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+def test_pixel_means_by_channel(spark, channels):
+    raw = bytes(i * 37 % 251 for i in range(12 * channels))
+    px = [[float(x) for x in raw[i : i + channels][:3]] for i in range(0, len(raw), channels)]
+    r = spark.createDataFrame([(bytearray(raw), channels)], "d binary, c int").select(ingest_qc.pixel_means("d", "c").alias("m")).select("m.*").first()
+    assert r.saturation == pytest.approx(sum((max(p) - min(p)) / max(max(p), 1) * 255 for p in px) / 12) and r.brightness == pytest.approx(sum(map(max, px)) / 12)
