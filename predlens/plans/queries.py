@@ -143,6 +143,7 @@ def prob_map_ranked(spark, d):
     return out.select("image_id", F.array_join(F.transform(C.ranked("m"), lambda e: e["key"]), ",").alias("ranked"))
 
 
+_REPORT = "resourceType string, id string, conclusion string, conclusionCode array<struct<coding:array<struct<code:string, display:string>>>>, extension array<struct<valueDecimal:double>>"
 _CODES = f"(VALUES {_values(config.FULL_NAMES, config.ICD10, config.SNOMED)}) AS c(pred_class, full_name, icd10, snomed)"
 
 
@@ -152,11 +153,11 @@ def fhir_export(spark, d):
     """The report's fields, read back from its JSON; of the conclusion what stands before the percentage, whose ties at .05 the two
     engines round in different ways."""
     out = score.to_fhir(score.scan_results(V.records(spark, d)).withColumns({"scan_id": F.col("image_id"), "timestamp": F.col("ts")}))
-    field = lambda path, name: F.get_json_object("report", path).alias(name)
-    coding = "$.conclusionCode[0].coding[0]"
+    out = out.withColumn("r", F.from_json("report", _REPORT))  # one reading of the text for all fields
+    coding = F.col("r.conclusionCode")[0]["coding"][0]
     return out.select(
-        "scan_id", field("$.resourceType", "kind"), field("$.id", "id"), F.regexp_extract(F.get_json_object("report", "$.conclusion"), r"^(.*) \(", 1).alias("conclusion"), field(f"{coding}.code", "code"), field(f"{coding}.display", "display"),
-        F.get_json_object("report", "$.extension[0].valueDecimal").cast("double").alias("mel_score"),
+        "scan_id", F.col("r.resourceType").alias("kind"), "r.id", F.regexp_extract("r.conclusion", r"^(.*) \(", 1).alias("conclusion"), coding["code"].alias("code"), coding["display"].alias("display"),
+        F.col("r.extension")[0]["valueDecimal"].alias("mel_score"),
     )
 
 

@@ -280,3 +280,8 @@ def test_pixel_means_by_channel(spark, channels):
     px = [[float(x) for x in raw[i : i + channels][:3]] for i in range(0, len(raw), channels)]
     r = spark.createDataFrame([(bytearray(raw), channels)], "d binary, c int").select(ingest_qc.pixel_means("d", "c").alias("m")).select("m.*").first()
     assert r.saturation == pytest.approx(sum((max(p) - min(p)) / max(max(p), 1) * 255 for p in px) / 12) and r.brightness == pytest.approx(sum(map(max, px)) / 12)
+
+
+def test_reports_are_read_once_for_all_fields(spark):
+    plan = queries.fhir_export(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.lower().count("from_json") + plan.count("JsonToStructs") + plan.count("jsontostructs") == 1
