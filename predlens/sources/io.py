@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -75,13 +76,23 @@ def image_files(spark: SparkSession, path: str | list[str], suffixes=IMAGE_SUFFI
     return files.where(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a folder, and the folder's path in it. An error if Arrow doesn't know the store."""
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + quote(folder.removeprefix("file:")))
+
+
+def listed(name: str) -> bool:
+    """Whether Spark's file sources list a file by its path below the folder: they skip hidden files and those still being copied."""
+    parts = name.split("/")
+    return not any(p.startswith(".") or p.startswith("_") and "=" not in p or p.endswith("._COPYING_") for p in parts)
+
+
 def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
     """One file for each row, with the row's name and bytes, and their number. A name may begin with a folder below the given one. Tasks
     write through Arrow's file systems, to the folder's own store; a task that runs again writes the same files."""
-    target = folder if "://" in folder else "file://" + folder.removeprefix("file:")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(target)
+        store, base = store_of(folder)
         made = set()
         for batch in batches:
             for n, c in zip(*batch.columns, strict=True):

@@ -2,6 +2,7 @@ import math
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -274,6 +275,65 @@ def test_images_of_a_small_table_are_dealt_to_many_tasks(spark, monkeypatch):
     assert seen[0].rdd.getNumPartitions() == seen[0].count() // 20 + 1 > 1
 
 
+def bmp(width, height, seed=7, fields=()):
+    """A bitmap of 24 bits a pixel; fields of its header by name."""
+    row = (3 * width + 3) // 4 * 4
+    f = {"size": 54 + row * height, "zero": 0, "begin": 54, "head": 40, "width": width, "height": height, "planes": 1, "bits": 24, "packed": 0, "count": row * height} | dict(fields)
+    return b"BM" + struct.pack("<IIIIiiHHII16x", *f.values()) + bytes(i * seed % 251 for i in range(row * height))
+
+
+def images_in(folder, files):
+    for name, raw in files.items():
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(raw)
+    return str(folder)
+
+
+def by_sources(spark, folders):
+    return sorted(ingest_qc.facts(io.image_files(spark, folders), io.decoded_images(spark, folders)).collect())
+
+
+PLAIN = {f"{w}x{h}.png": bmp(w, h) for w in (1, 2, 3, 4, 33) for h in (1, 2, 45)} | {
+    "é a+%20.JPG": bmp(6, 6), "sub/b c.jpeg": bmp(5, 3), "none.png": b"no image", "short.png": b"B", "webp.png": b"RIFF1234WEBPVP8 ",
+    "empty.png": b"", "note.txt": b"x", ".hidden.png": bmp(2, 2), "_hidden.png": bmp(2, 2), "_k=v.png": bmp(2, 2), "_sub/d.png": bmp(2, 2),
+}
+
+
+def test_folders_of_plain_bitmaps_are_read_by_tasks_as_the_sources_would(spark, tmp_path, monkeypatch):
+    folders = [images_in(tmp_path / f"f {i}", PLAIN | {f"{i}.png": bmp(40, 20 + i, i + 1)}) for i in range(9)]
+    want = by_sources(spark, folders)
+    assert len(want) == 9 * 22 and sum(r.height == -1 for r in want) == 9 * 3
+
+    def unused(*_):
+        raise AssertionError("the driver lists no files and the image source decodes none")
+
+    monkeypatch.setattr(ingest_qc, "image_files", unused)
+    monkeypatch.setattr(ingest_qc, "decoded_images", unused)
+    assert sorted(ingest_qc.facts_of_folders(spark, folders).collect()) == want
+    assert ingest_qc.facts_of_folders(spark, []).count() == 0
+
+
+def test_folders_with_other_formats_or_in_other_stores_go_through_the_sources(spark, tmp_path, monkeypatch):
+    folders = [images_in(tmp_path / f"f{i}", PLAIN) for i in range(4)]
+    png(tmp_path / "f1" / "real.png", 40, 30, (200, 50, 50))
+    (tmp_path / "f3" / "32.png").write_bytes(bmp(5, 4, fields={"bits": 32}))
+    want = by_sources(spark, folders)
+    monkeypatch.setattr(ingest_qc, "FILES_A_BATCH", 3)
+    assert sorted(ingest_qc.facts_of_folders(spark, folders, at_once=1).collect()) == want
+
+    def unknown(folder):
+        raise pa.ArrowInvalid("Unrecognized filesystem type in URI")
+
+    monkeypatch.setattr(ingest_qc, "store_of", unknown)
+    assert sorted(ingest_qc.facts_of_folders(spark, folders, at_once=3).collect()) == want
+
+
+@pytest.mark.parametrize("fields", [{"height": -4}, {"bits": 32}, {"packed": 1}, {"begin": 60}, {"head": 124}, {"count": 0}, {"size": 1}, {"width": 0}, {"planes": 2}])
+def test_only_plain_bitmaps_are_decoded_by_tasks(fields):
+    assert ingest_qc.plain_bitmap(bmp(5, 4)).shape == (4, 5, 3)
+    assert ingest_qc.plain_bitmap(bmp(5, 4, fields=fields)) is None and ingest_qc.plain_bitmap(bmp(5, 4)[:-1]) is None
+
+
 @pytest.mark.parametrize("channels", [1, 2, 3, 4])
 def test_pixel_means_by_channel(spark, channels):
     raw = bytes(i * 37 % 251 for i in range(12 * channels))
