@@ -13,9 +13,11 @@ from predlens.config import CLASSES, DIAGNOSES, HYPOTHESES, ONEHOT_8
 from predlens.functions import columns as C
 from predlens.functions import stats
 from predlens.operators import active, calibrate, curate, drift, fairness, hypothesis, ingest_qc, papers, qa, questions, score
-from predlens.plans import pipeline, queries, records
+from predlens.plans import monitor_queries, pipeline, queries, records
 from predlens.sources import io
 
+from .conftest import DATA
+
 
 def one(df):
     return df.first()[0]
@@ -328,6 +330,16 @@ def test_folders_with_other_formats_or_in_other_stores_go_through_the_sources(sp
     assert sorted(ingest_qc.facts_of_folders(spark, folders, at_once=3).collect()) == want
 
 
+def test_image_files_are_written_and_read_some_folders_at_a_time(spark, monkeypatch):
+    want = sorted(monitor_queries.ingest_files(spark, DATA).collect(), key=lambda r: r.path)
+    seen, of = [], ingest_qc.facts_of_folders
+    monkeypatch.setattr(monitor_queries, "FILES_A_FOLDER", 10)
+    monkeypatch.setattr(monitor_queries, "FOLDERS_A_TURN", 6)
+    monkeypatch.setattr(ingest_qc, "facts_of_folders", lambda spark, folders: seen.append(folders) or of(spark, folders))
+    assert sorted(monitor_queries.ingest_files(spark, DATA).collect(), key=lambda r: r.path) == want
+    assert len(seen) == 4 and max(map(len, seen)) <= 6 and len({f for s in seen for f in s}) == sum(map(len, seen)) > 6
+
+
 @pytest.mark.parametrize("fields", [{"height": -4}, {"bits": 32}, {"packed": 1}, {"begin": 60}, {"head": 124}, {"count": 0}, {"size": 1}, {"width": 0}, {"planes": 2}])
 def test_only_plain_bitmaps_are_decoded_by_tasks(fields):
     assert ingest_qc.plain_bitmap(bmp(5, 4)).shape == (4, 5, 3)
